@@ -94,7 +94,8 @@ def order_price_benchmarks(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     return _plain(rollups.tiered_benchmarks(
-        rows, ["priority", "year"], ["region", "nation"], "price", "price", "price", "customer"
+        rows, ["priority", "year"], ["region", "nation"], "price", "price", "price", "customer",
+        cut=materialize,
     ))
 
 
@@ -311,11 +312,11 @@ def title_corpus(spark, sf):
 
 
 def employer_prefix_heads(spark, sf):
-    return search.employer_index(_entries(spark, sf))
+    return search.employer_index(_entries(spark, sf), cut=materialize)
 
 
 def title_prefix_heads(spark, sf):
-    return search.title_index(title_corpus(spark, sf), TITLE_CAP)
+    return search.title_index(title_corpus(spark, sf), TITLE_CAP, materialize)
 
 
 def prefix_index(spark, sf):
@@ -342,7 +343,7 @@ def title_search_documents(spark, sf):
 
 def index_reachability(spark, sf):
     entries = _entries(spark, sf)
-    return _plain(search.reachability(search.employer_index(entries), entries))
+    return _plain(search.reachability(employer_prefix_heads(spark, sf), entries))
 
 
 def search_lookup(spark, sf):

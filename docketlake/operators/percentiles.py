@@ -1,8 +1,10 @@
-"""Exact continuous percentiles per group, without a group in one task.
+"""Exact continuous percentiles per group, without a large group in one task.
 
-Rows are first counted per (group, value). A value belongs to a coarse bucket
-that is monotone in the value, so the bucket counts of a group, a short list,
-tell which bucket holds each wanted rank; only those buckets are then ordered.
+Rows are first counted per (group, value). Groups of few distinct values, nearly
+all of them, are ordered whole, one next to the other. In a group of many, a
+value belongs to a coarse bucket that is monotone in the value; the bucket
+counts, a short list, tell which bucket holds each wanted rank, and only those
+buckets are ordered, each on its own.
 """
 
 from __future__ import annotations
@@ -12,8 +14,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketlake.operators.identity import union_all
 from docketlake.operators.joins import join_null_safe
 
+#: Distinct values up to which a group is ordered whole.
+LARGE = 200_000
+
 
 def coarse_bucket(value: Column, steps: int = 64) -> Column:
     """Signed logarithmic bucket, non-decreasing in ``value``.
@@ -32,82 +38,83 @@ def value_counts(
     return rows.groupBy(*group, value).agg(F.count("*").alias("n"), *extra)
 
 
+def _running(*partition: str, order: str):
+    return Window.partitionBy(*partition).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+
+
+def _spots(n: Column, probs: Mapping[str, str]) -> dict[str, Column]:
+    """0-based fractional rank of each percentile among ``n`` rows."""
+    last = (n - 1).cast("decimal(20,0)")
+    return {name: last * F.lit(p).cast("decimal(10,6)") for name, p in probs.items()}
+
+
+def _interpolated(
+    spots: Mapping[str, Column], value: Column, start: Column, end: Column, scale: int
+) -> list[Column]:
+    """Percentiles from rows that cover ranks ``start`` to ``end`` - 1, as decimals."""
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= start) & (rank < end), value))
+
+    out = []
+    for name, spot in spots.items():
+        low, high = at(F.floor(spot).cast("long")), at(F.ceil(spot).cast("long"))
+        share = F.max((spot - F.floor(spot)).cast("decimal(7,6)"))
+        out.append(F.round(low + (high - low) * share, scale).alias(name))
+    return out
+
+
 def grouped_percentiles(
     hist: DataFrame,
     group: Sequence[str],
     value: str,
     probs: Mapping[str, str],
     scale: int = 2,
-    extra: Mapping[str, tuple[Column, Column]] | None = None,
-    keep: Column | None = None,
+    extra: Mapping[str, Column] | None = None,
+    large: int = LARGE,
 ) -> DataFrame:
     """Percentiles of a histogram (group, value, n) with linear interpolation.
 
-    ``probs`` maps output names to decimal literals ("0.25"). ``extra`` maps an
-    output name to (partial, merge): ``partial`` aggregates histogram rows,
-    ``merge`` combines columns of that name. ``keep`` filters groups by their
-    columns, ``n`` or extra outputs before any value is ordered.
+    ``probs`` maps output names to decimal literals ("0.25"), ``extra`` output
+    names to aggregates over histogram rows. Adds ``n``, the rows per group.
     """
-    group = list(group)
-    extra = dict(extra or {})
-    hist = hist.withColumn("_bucket", coarse_bucket(F.col(value)))
-
-    buckets = hist.groupBy(*group, "_bucket").agg(
-        F.sum("n").alias("_n"), *[p.alias(name) for name, (p, _) in extra.items()]
-    )
-    # One short row list per group: cumulative counts over its buckets.
-    running = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    group, extra = list(group), dict(extra or {})
+    extras = [e.alias(name) for name, e in extra.items()]
+    wide = hist.groupBy(*group).agg(F.count("*").alias("_values")).filter(F.col("_values") > large)
+    wide = wide.drop("_values")
+    c = F.col
+
+    # Whole groups: one shuffle serves the order, the ranks and the result.
+    narrow = join_null_safe(hist, wide, group, "left_anti")
+    placed = narrow.withColumn("_end", F.sum("n").over(_running(*group, order=value))).withColumn(
+        "_all", F.sum("n").over(Window.partitionBy(*group))
     )
-    whole = Window.partitionBy(*group)
-    placed = buckets.withColumn("_upto", F.sum("_n").over(running)).withColumn(
-        "n", F.sum("_n").over(whole)
-    )
-    for name, (_, merge) in extra.items():
-        placed = placed.withColumn(name, merge.over(whole))
-    if keep is not None:
-        placed = placed.filter(keep)
-
-    # 0-based ranks each percentile needs: floor and ceiling of p * (n - 1).
-    last = (F.col("n") - 1).cast("decimal(20,0)")
-    spots = {
-        name: last * F.lit(p).cast("decimal(10,6)") for name, p in probs.items()
-    }
-    ranks = F.array_distinct(
-        F.array(*[f(s).cast("long") for s in spots.values() for f in (F.floor, F.ceil)])
-    )
-    below = F.col("_upto") - F.col("_n")
-    wanted = placed.select(
-        *group, "_bucket", "n", *extra, below.alias("_below"),
-        F.filter(ranks, lambda r: (r >= below) & (r < F.col("_upto"))).alias("_ranks"),
-    ).filter(F.size("_ranks") > 0)
-
-    # Order the values of the hit buckets only.
-    values = hist.select(*group, "_bucket", value, F.col("n").alias("_c"))
-    hit = join_null_safe(values, wanted, [*group, "_bucket"])
-    within = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    upto = F.col("_below") + F.sum("_c").over(within)
-    picked = (
-        hit.withColumn("_to", upto)
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to")))
-            ),
-        )
-        .select(*group, "n", *extra, "_rank", F.col(value).alias("_v"))
+    ordered = placed.groupBy(*group).agg(
+        F.max("_all").alias("_n"), *extras,
+        *_interpolated(_spots(c("_all"), probs), c(value), c("_end") - c("n"), c("_end"), scale),
     )
 
-    # At most two values per percentile: interpolate as decimals.
-    def interpolate(spot: Column) -> Column:
-        low = F.max(F.when(F.col("_rank") == F.floor(spot).cast("long"), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(spot).cast("long"), F.col("_v")))
-        share = (spot - F.floor(spot)).cast("decimal(7,6)")
-        exact = low + (high - low) * F.max(share)
-        return F.round(exact, scale)
-
-    return picked.groupBy(*group, "n", *extra).agg(
-        *[interpolate(s).alias(name) for name, s in spots.items()]
+    # Large groups: the same within the buckets that hold a wanted rank.
+    big = join_null_safe(hist, wide, group, "left_semi").withColumn(
+        "_bucket", coarse_bucket(c(value))
+    )
+    totals = big.groupBy(*group).agg(F.sum("n").alias("_n"), *extras)
+    buckets = big.groupBy(*group, "_bucket").agg(F.sum("n").alias("_count"))
+    upto = buckets.withColumn("_upto", F.sum("_count").over(_running(*group, order="_bucket")))
+    spotted = join_null_safe(upto, totals, group)
+    ranks = F.array(*[
+        f(s).cast("long") for s in _spots(c("_n"), probs).values() for f in (F.floor, F.ceil)
+    ])
+    below = c("_upto") - c("_count")
+    wanted = spotted.withColumn("_below", below).filter(
+        F.exists(ranks, lambda r: (r >= below) & (r < c("_upto")))
+    ).drop("_upto", "_count")
+    values = big.select(*group, "_bucket", value, c("n").alias("_c"))
+    hit = join_null_safe(values, wanted, [*group, "_bucket"]).withColumn(
+        "_end", c("_below") + F.sum("_c").over(_running(*group, "_bucket", order=value))
     )
+    bucketed = hit.groupBy(*group, "_n", *extra).agg(
+        *_interpolated(_spots(c("_n"), probs), c(value), c("_end") - c("_c"), c("_end"), scale)
+    ).select(*ordered.columns)
+    return union_all(ordered, bucketed).withColumnRenamed("_n", "n")

@@ -16,7 +16,7 @@ from docketlake.functions.aggregates import (
 )
 from docketlake.functions.normalize import WAGE_LEVELS
 from docketlake.operators.joins import join_null_safe
-from docketlake.operators.percentiles import grouped_percentiles, value_counts
+from docketlake.operators.percentiles import LARGE, grouped_percentiles, value_counts
 from docketlake.schema import WAGE
 
 UNKNOWN_LEVEL = "unknown"
@@ -117,6 +117,7 @@ def tiered_benchmarks(
     entity: str,
     min_cell: int = MIN_CELL,
     cut: Callable[[DataFrame, str], DataFrame] | None = None,
+    large: int = LARGE,
 ) -> DataFrame:
     """Counts, distinct entities, exact percentiles, mean, min and max per tier.
 
@@ -150,19 +151,18 @@ def tiered_benchmarks(
     keep = own_tier_known(F.col("depth")) & (
         (F.col("depth") < finest) | (F.col("n") >= min_cell)
     )
-    total = F.sum((F.col(value) * F.col("n").cast("decimal(18,0)")).cast("decimal(38,5)"))
     stats = grouped_percentiles(
         hist,
         [*fixed, *tiers, "depth"],
         value,
         {"p25": "0.25", "p50": "0.50", "p75": "0.75"},
         extra={
-            "_total": (total, F.sum("_total")),
-            "min_wage": (F.min("_low"), F.min("min_wage")),
-            "max_wage": (F.max("_high"), F.max("max_wage")),
+            "_total": F.sum((F.col(value) * F.col("n").cast("decimal(18,0)")).cast("decimal(38,5)")),
+            "min_wage": F.min("_low"),
+            "max_wage": F.max("_high"),
         },
-        keep=keep,
-    )
+        large=large,
+    ).filter(keep)
 
     pairs = rows.select(*fixed, *tiers, entity).distinct()
     entities = _tiered(

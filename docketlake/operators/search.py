@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docketlake.functions import normalize as nz
 from docketlake.functions.aggregates import ordered_array
 
+Cut = Callable[[DataFrame, str], DataFrame]
+
 CAP = 50
 BASE_DEPTH = 3
 
@@ -21,6 +23,7 @@ def prefix_index(
     payload: Sequence[str],
     cap: int = CAP,
     max_depth: int = nz.MAX_DEPTH,
+    cut: Cut | None = None,
 ) -> DataFrame:
     """(prefix, total, rank, payload): the ranked head of every live bucket.
 
@@ -38,8 +41,12 @@ def prefix_index(
     a prefix shared by most names moves ``cap`` rows per task, not all of them.
     Members named exactly like the bucket come first: they cannot descend.
     ``total`` is the true member count.
+
+    ``cut`` (``session.materialize``) stores the entries and their memberships
+    once; without it each of the reads below derives the entries again.
     """
-    named = entries.withColumn("_base", nz.base_prefixes(F.col(name)))
+    keep = cut or (lambda df, _: df)
+    named = keep(entries.withColumn("_base", nz.base_prefixes(F.col(name))), "search-entries")
     base = named.withColumn("prefix", F.explode("_base"))
 
     top = F.get("_base", F.lit(1))
@@ -55,7 +62,8 @@ def prefix_index(
         .withColumn("prefix", F.explode(F.transform(depths, lambda d: F.substr(name, F.lit(1), d))))
         .drop("_top")
     )
-    members = base.unionByName(deep).drop("_base") if max_depth > BASE_DEPTH else base.drop("_base")
+    every = base.unionByName(deep) if max_depth > BASE_DEPTH else base
+    members = keep(every.drop("_base"), "search-members")
 
     counts = members.groupBy("prefix").agg(F.count("*").alias("total"))
     parents = counts.filter(F.col("total") > cap).select(F.col("prefix").alias("_parent"))
@@ -105,9 +113,10 @@ def employer_entries(employers: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
-def employer_index(entries: DataFrame, cap: int = CAP, max_depth: int = nz.MAX_DEPTH) -> DataFrame:
+def employer_index(entries: DataFrame, cap: int = CAP, cut: Cut | None = None) -> DataFrame:
     order = [F.col("n_filings").desc(), F.col("name"), F.col("key")]
-    return prefix_index(entries, "nm", order, ["key", "ein", "name", "n_filings"], cap, max_depth)
+    payload = ["key", "ein", "name", "n_filings"]
+    return prefix_index(entries, "nm", order, payload, cap, cut=cut)
 
 
 def title_corpus(job_titles: DataFrame) -> DataFrame:
@@ -121,9 +130,9 @@ def title_corpus(job_titles: DataFrame) -> DataFrame:
     )
 
 
-def title_index(corpus: DataFrame, cap: int = CAP, max_depth: int = nz.MAX_DEPTH) -> DataFrame:
+def title_index(corpus: DataFrame, cap: int = CAP, cut: Cut | None = None) -> DataFrame:
     order = [F.col("n").desc(), F.col("soc_code"), F.col("title")]
-    return prefix_index(corpus, "nm", order, ["title", "soc_code", "n"], cap, max_depth)
+    return prefix_index(corpus, "nm", order, ["title", "soc_code", "n"], cap, cut=cut)
 
 
 def reachability(heads: DataFrame, entries: DataFrame, key: str = "key") -> DataFrame:

@@ -245,9 +245,13 @@ def meta_document(counts: DataFrame, manifest: DataFrame, built_at: str) -> Data
 
 
 def all_documents(
-    tables: ServingTables, page_rows: int = PAGE_ROWS, cap: int = search.CAP
+    tables: ServingTables, page_rows: int = PAGE_ROWS, cap: int = search.CAP,
+    cut: search.Cut | None = None,
 ) -> DataFrame:
-    """(family, key, page, body, sha256, n_bytes) of every family but meta."""
+    """(family, key, page, body, sha256, n_bytes) of every family but meta.
+
+    ``tables`` should be stored ones: several families read the same table.
+    """
     entries = search.employer_entries(tables.employers, tables.employer_profile)
     corpus = search.title_corpus(tables.job_titles)
     return seal(
@@ -256,7 +260,7 @@ def all_documents(
             jobs_documents(tables.jobs, page_rows),
             titles_documents(tables.job_titles, page_rows),
             wage_documents(tables.wage_benchmarks, page_rows),
-            employer_search_documents(search.employer_index(entries, cap)),
-            title_search_documents(search.title_index(corpus, cap)),
+            employer_search_documents(search.employer_index(entries, cap, cut)),
+            title_search_documents(search.title_index(corpus, cap, cut)),
         )
     )

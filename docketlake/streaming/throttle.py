@@ -48,17 +48,18 @@ def _arrive(state, now, takes, give, limit, window):
     Returns (tokens after the give, tokens before the takes, takes served), or
     None when the arrival changed nothing.
     """
-    state[0] = min(state[0], limit)
+    full = float(limit)  # stored as a double, so never an int
+    state[0] = min(state[0], full)
     given = None
     if give:
-        state[0] = min(limit, state[0] + 1)
+        state[0] = min(full, state[0] + 1)
         state[2] = 0
         given = state[0]
     if not takes or state[2] > now:
         return (given, state[0], 0) if give else None
     elapsed = now - state[1]
     if elapsed > 0:
-        state[0] = min(limit, state[0] + (elapsed * limit) / window)
+        state[0] = min(full, state[0] + (elapsed * limit) / window)
         state[1] = now
     before = state[0]
     served = min(takes, math.floor(before))
