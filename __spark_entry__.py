@@ -358,7 +358,7 @@ def search_lookup(spark, sf):
 
 def point_lookup(spark, sf):
     """Every identifier as filed, asked for its titles document."""
-    docs = documents.titles_documents(_tables(spark, sf).job_titles)
+    docs = _rendered(_ready(spark).sparkContext.applicationId, spark, sf, None)
     asked = filings(_ready(spark), sf).lca.select(c("employer_fein").alias("id")).distinct()
     return lookup.lookup_entity(docs, asked.filter(c("id").isNotNull()), "titles").select(
         "id", "doc_key", "status", F.length("body").cast("long").alias("n_chars"))
@@ -377,9 +377,16 @@ def wage_lookup(spark, sf):
 # --- publishing --------------------------------------------------------------
 
 
+@lru_cache(maxsize=8)
+def _rendered(app: str, spark: SparkSession, sf: str, before: str | None) -> DataFrame:
+    titles = materialize(_build(spark, sf, before).tables.job_titles, "job-titles")
+    return materialize(documents.seal(documents.titles_documents(titles)), "title-documents")
+
+
 def _title_docs(spark, sf, before=None):
-    made = documents.titles_documents(_build(spark, sf, before).tables.job_titles)
-    return documents.seal(made).select("key", "sha256", "n_bytes")
+    """Rendered titles documents, stored once as a publisher has them."""
+    docs = _rendered(_ready(spark).sparkContext.applicationId, spark, sf, before)
+    return docs.select("key", "sha256", "n_bytes")
 
 
 def _plan(spark, sf, **kw):

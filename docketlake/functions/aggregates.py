@@ -41,12 +41,6 @@ def counts_to_map(pairs: Sequence[tuple[str, Column]]) -> Column:
     return F.when(F.size(entries) > 0, F.map_from_entries(entries))
 
 
-def object_agg(key: Column, value: Column) -> Column:
-    """key -> value as a map in key order. Keys must be unique in the group."""
-    pairs = F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))
-    return F.map_from_entries(pairs)
-
-
 def ordered_array(*fields: Column) -> Column:
     """An array of objects, ordered by the fields from left to right."""
     return F.array_sort(F.collect_list(F.struct(*fields)))

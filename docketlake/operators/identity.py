@@ -28,6 +28,24 @@ def name_votes(*sources: DataFrame) -> DataFrame:
     )
 
 
+def spellings(*sources: DataFrame) -> DataFrame:
+    """(nm, ein, name, d, n): latest date and row count per way an entity is written.
+
+    Everything identity needs from the filings, in one pass over them; even an
+    entity that files most rows is written in a handful of ways.
+    """
+    rows = union_all(*[s.select("nm", "ein", "name", "d") for s in sources])
+    return (
+        rows.filter(F.col("nm").isNotNull()).groupBy("nm", "ein", "name")
+        .agg(F.max("d").alias("d"), F.count("*").alias("n"))
+    )
+
+
+def votes_of(written: DataFrame) -> DataFrame:
+    """The votes of ``name_votes``, from spellings."""
+    return written.filter(F.col("ein").isNotNull()).groupBy("nm", "ein").agg(F.sum("n").alias("n"))
+
+
 def name_id_map(votes: DataFrame) -> DataFrame:
     """(nm, mapped): the most used identifier per name, smallest on a tie."""
     best = F.min_by(F.col("ein"), F.struct(-F.col("n"), F.col("ein")))

@@ -116,19 +116,17 @@ def stage_gc(pwd: DataFrame, perm: DataFrame, id_map: DataFrame) -> DataFrame:
     return resolve(dated, id_map).select("key", "year", "typ", "soc", "approved")
 
 
-def stage_candidates(norm: Normalized, id_map: DataFrame) -> DataFrame:
-    """Candidate display rows, reduced to one per spelling before the map join.
+def stage_candidates(written: DataFrame, id_map: DataFrame) -> DataFrame:
+    """Candidate display rows, one per spelling.
 
     Dated or not, every named filing makes its employer exist.
     """
-    rows = union_all(*[s.select("nm", "ein", "name", "d") for s in norm.all()])
-    spellings = rows.groupBy("nm", "ein", "name").agg(F.max("d").alias("d"))
-    return resolve(spellings, id_map).select("key", "ein", "name", "d")
+    return resolve(written, id_map).select("key", "ein", "name", "d")
 
 
-def stage(norm: Normalized, id_map: DataFrame) -> Staging:
+def stage(norm: Normalized, written: DataFrame, id_map: DataFrame) -> Staging:
     return Staging(
         stage_lca(norm.lca, id_map),
         stage_gc(norm.pwd, norm.perm, id_map),
-        stage_candidates(norm, id_map),
+        stage_candidates(written, id_map),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.aggregates import object_agg, ordered_array
+from docketlake.functions.aggregates import ordered_array
 from docketlake.operators import search
 from docketlake.operators.identity import union_all
 from docketlake.operators.joins import join_null_safe
@@ -234,10 +234,15 @@ def table_counts(tables: ServingTables) -> DataFrame:
 
 def meta_document(counts: DataFrame, manifest: DataFrame, built_at: str) -> DataFrame:
     """The meta document: row counts, build time, objects served (itself included)."""
-    rows = counts.agg(object_agg(F.col("table"), F.col("n")).alias("rows"))
-    objects = manifest.agg((F.count("*") + 1).alias("objects"))
-    one = F.lit(1)  # two one-row aggregates meet on a constant
-    joined = rows.withColumn("_one", one).join(objects.withColumn("_one", one), "_one")
+    served = manifest.agg((F.count("*") + 1).alias("n")).select(
+        F.lit(None).cast("string").alias("table"), "n"
+    )
+    is_table = F.col("table").isNotNull()
+    pair = F.struct(F.col("table").alias("k"), F.col("n").alias("v"))
+    joined = counts.unionByName(served).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(is_table, pair)))).alias("rows"),
+        F.max(F.when(~is_table, F.col("n"))).alias("objects"),
+    )
     body = F.struct(
         F.lit(True).alias("ok"), "rows", F.lit(built_at).alias("built_at"), "objects"
     )

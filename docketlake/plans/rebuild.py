@@ -41,13 +41,15 @@ def rebuild(
     """Declare the whole rebuild.
 
     Without ``cut`` everything stays lazy. With it (``session.materialize``) the
-    identity map and the staging tables are written once and read by every
-    aggregate, which is how a large build should run.
+    spellings, the identity map and the staging tables are written once and read
+    by every aggregate, which is how a large build should run: the filings are
+    read twice, once for two of their columns and the date, once for staging.
     """
     keep = cut or (lambda df, name: df)
     norm = staging.normalize(raw)
-    id_map = keep(identity.name_id_map(identity.name_votes(*norm.all())), "name-id-map")
-    staged = staging.stage(norm, id_map)
+    written = keep(identity.spellings(*norm.all()), "spellings")
+    id_map = keep(identity.name_id_map(identity.votes_of(written)), "name-id-map")
+    staged = staging.stage(norm, written, id_map)
     staged = Staging(
         keep(staged.lca, "lca"), keep(staged.gc, "gc"), keep(staged.candidates, "candidates")
     )
