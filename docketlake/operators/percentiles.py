@@ -73,11 +73,14 @@ def grouped_percentiles(
     scale: int = 2,
     extra: Mapping[str, Column] | None = None,
     large: int = LARGE,
+    stored: bool = False,
 ) -> DataFrame:
     """Percentiles of a histogram (group, value, n) with linear interpolation.
 
     ``probs`` maps output names to decimal literals ("0.25"), ``extra`` output
     names to aggregates over histogram rows. Adds ``n``, the rows per group.
+    A ``stored`` histogram is cheap to read, so it is looked at first: without a
+    large group the plan is the one for whole groups alone.
     """
     group, extra = list(group), dict(extra or {})
     extras = [e.alias(name) for name, e in extra.items()]
@@ -86,7 +89,8 @@ def grouped_percentiles(
     c = F.col
 
     # Whole groups: one shuffle serves the order, the ranks and the result.
-    narrow = join_null_safe(hist, wide, group, "left_anti")
+    none_large = stored and wide.isEmpty()
+    narrow = hist if none_large else join_null_safe(hist, wide, group, "left_anti")
     placed = narrow.withColumn("_end", F.sum("n").over(_running(*group, order=value))).withColumn(
         "_all", F.sum("n").over(Window.partitionBy(*group))
     )
@@ -94,6 +98,8 @@ def grouped_percentiles(
         F.max("_all").alias("_n"), *extras,
         *_interpolated(_spots(c("_all"), probs), c(value), c("_end") - c("n"), c("_end"), scale),
     )
+    if none_large:
+        return ordered.withColumnRenamed("_n", "n")
 
     # Large groups: the same within the buckets that hold a wanted rank.
     big = join_null_safe(hist, wide, group, "left_semi").withColumn(

@@ -168,9 +168,9 @@ def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def filings(spark: SparkSession, folder: str, before: str | None = None) -> RawFilings:
     """The three raw sources, lazily derived from the whole tables.
 
-    Lines and orders are both fact tables and always meet in a shuffle, in which
-    the adaptive skew rule may split a hot order; the other sides are broadcast
-    when they measure small and else shuffle too. ``before`` takes the state of an
+    Lines, orders and customers grow with the data and always meet in a shuffle,
+    in which the adaptive skew rule may split a hot side; nations, parts and
+    suppliers are broadcast when they measure small and else shuffle too. ``before`` takes the state of an
     earlier publish: what was shipped or ordered before that date.
     """
     lines, ordered = table(spark, folder, "lineitem"), table(spark, folder, "orders")

@@ -35,8 +35,8 @@ def test_both_ways_match_brute_force(spark):
     want = {g: (len(v), *[exact(v, p) for p in PROBS.values()]) for g, v in groups.items()}
     df = spark.createDataFrame(rows, "g string, v decimal(20,5)")
     hist = value_counts(df, ["g"], "v")
-    for large in (0, 20, 10**9):  # all bucketed, mixed, none
-        got = grouped_percentiles(hist, ["g"], "v", PROBS, large=large).collect()
+    for large, stored in ((0, False), (20, True), (10**9, False), (10**9, True)):
+        got = grouped_percentiles(hist, ["g"], "v", PROBS, large=large, stored=stored).collect()
         assert {r["g"]: (r["n"], r["p25"], r["p50"], r["p75"]) for r in got} == want
 
 
