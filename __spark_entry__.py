@@ -351,8 +351,9 @@ def search_lookup(spark, sf):
     asked = table(_ready(spark), sf, "supplier").select(c("s_name").alias("q")).union(
         table(spark, sf, "part").select("p_name")).union(
         filings(spark, sf).lca.select("employer_name")).distinct()
+    asked = materialize(asked.filter(c("q").isNotNull()), "queries")
     docs = documents.employer_search_documents(employer_prefix_heads(spark, sf))
-    return lookup.search(docs, asked.filter(c("q").isNotNull()), "s").select(
+    return lookup.search(materialize(docs, "search-documents"), asked, "s").select(
         "q", "prefix", "hit", "status", "body")
 
 
