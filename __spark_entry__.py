@@ -353,7 +353,8 @@ def search_lookup(spark, sf):
         filings(spark, sf).lca.select("employer_name")).distinct()
     asked = materialize(asked.filter(c("q").isNotNull()), "queries")
     docs = documents.employer_search_documents(employer_prefix_heads(spark, sf))
-    return lookup.search(materialize(docs, "search-documents"), asked, "s").select(
+    stored = materialize(docs, "search-documents")
+    return lookup.search(stored, asked, "s", materialize).select(
         "q", "prefix", "hit", "status", "body")
 
 
@@ -367,7 +368,7 @@ def point_lookup(spark, sf):
 
 def wage_lookup(spark, sf):
     """Every code and level as filed, asked for its wage document."""
-    docs = documents.wage_documents(_tables(spark, sf).wage_benchmarks)
+    docs = materialize(documents.wage_documents(_tables(spark, sf).wage_benchmarks), "wage-documents")
     asked = filings(_ready(spark), sf).lca.select(
         F.coalesce("soc_code", F.lit("")).alias("soc"),
         F.coalesce("pw_wage_level", F.lit("")).alias("level")).distinct()

@@ -58,6 +58,8 @@ def resolve(filings: DataFrame, id_map: DataFrame) -> DataFrame:
     No hint: the measured size of the map decides between a broadcast and a
     shuffle, and in a shuffle the adaptive skew rule splits the filings of a
     dominating name (the map has one row per name, so only the left side is hot).
+    For that the map must be stored: the rule skips a join whose side comes
+    straight from an aggregation.
     """
     named = filings.filter(F.col("nm").isNotNull())
     return named.join(id_map, "nm", "left").withColumn(

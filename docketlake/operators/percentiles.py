@@ -9,7 +9,7 @@ buckets are ordered, each on its own.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,23 +73,26 @@ def grouped_percentiles(
     scale: int = 2,
     extra: Mapping[str, Column] | None = None,
     large: int = LARGE,
-    stored: bool = False,
+    cut: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Percentiles of a histogram (group, value, n) with linear interpolation.
 
     ``probs`` maps output names to decimal literals ("0.25"), ``extra`` output
     names to aggregates over histogram rows. Adds ``n``, the rows per group.
-    A ``stored`` histogram is cheap to read, so it is looked at first: without a
-    large group the plan is the one for whole groups alone.
+    With ``cut`` the histogram is taken to be stored and is looked at first: the
+    large groups are stored too, so that their measured size decides how they are
+    joined, and without any the plan is the one for whole groups alone.
     """
     group, extra = list(group), dict(extra or {})
     extras = [e.alias(name) for name, e in extra.items()]
     wide = hist.groupBy(*group).agg(F.count("*").alias("_values")).filter(F.col("_values") > large)
     wide = wide.drop("_values")
+    if cut:
+        wide = cut(wide, "large-groups")
     c = F.col
 
     # Whole groups: one shuffle serves the order, the ranks and the result.
-    none_large = stored and wide.isEmpty()
+    none_large = cut is not None and wide.isEmpty()
     narrow = hist if none_large else join_null_safe(hist, wide, group, "left_anti")
     placed = narrow.withColumn("_end", F.sum("n").over(_running(*group, order=value))).withColumn(
         "_all", F.sum("n").over(Window.partitionBy(*group))

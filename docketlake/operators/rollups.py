@@ -162,7 +162,7 @@ def tiered_benchmarks(
             "max_wage": F.max("_high"),
         },
         large=large,
-        stored=cut is not None,
+        cut=cut,
     ).filter(keep)
 
     pairs = rows.select(*fixed, *tiers, entity).distinct()

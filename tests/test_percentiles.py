@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlake.operators.percentiles import coarse_bucket, grouped_percentiles, value_counts
 from docketlake.operators.rollups import tiered_benchmarks
+from docketlake.session import materialize
 
 PROBS = {"p25": "0.25", "p50": "0.50", "p75": "0.75"}
 
@@ -35,8 +36,8 @@ def test_both_ways_match_brute_force(spark):
     want = {g: (len(v), *[exact(v, p) for p in PROBS.values()]) for g, v in groups.items()}
     df = spark.createDataFrame(rows, "g string, v decimal(20,5)")
     hist = value_counts(df, ["g"], "v")
-    for large, stored in ((0, False), (20, True), (10**9, False), (10**9, True)):
-        got = grouped_percentiles(hist, ["g"], "v", PROBS, large=large, stored=stored).collect()
+    for large, cut in ((0, None), (20, materialize), (10**9, None), (10**9, materialize)):
+        got = grouped_percentiles(hist, ["g"], "v", PROBS, large=large, cut=cut).collect()
         assert {r["g"]: (r["n"], r["p25"], r["p50"], r["p75"]) for r in got} == want
 
 
