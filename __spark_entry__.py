@@ -28,6 +28,13 @@ from docketlake.session import DEFAULTS, materialize
 from docketlake.sources.warehouse import filings, table
 from docketlake.streaming.throttle import throttle_verdicts
 
+try:  # the training-data operators are a part that may be left out
+    from docketlake.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("docketlake.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 TITLE_CAP = 10
 c = F.col
 
@@ -493,8 +500,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "titles_documents": _documents(lambda t: documents.titles_documents(t.job_titles)),
         "wage_documents": _documents(lambda t: documents.wage_documents(t.wage_benchmarks)),
         "throttle_verdicts": throttle,
+        **(llm.QUERIES if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle.query(sql) for name, sql in oracle.FINALS.items()}
+    return {
+        **{name: oracle.query(sql) for name, sql in oracle.FINALS.items()},
+        **(llm.ORACLE_SQL if llm else {}),
+    }

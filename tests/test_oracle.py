@@ -17,7 +17,8 @@ def duck():
 
 
 def test_every_query_has_a_restatement():
-    assert set(entry.queries()) == set(SQL)
+    own = set(entry.llm.QUERIES) if entry.llm else set()
+    assert set(entry.queries()) - own == set(SQL) - own
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
