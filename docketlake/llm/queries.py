@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, packing
+from docketlake.llm import bpe, packing, simhash
 from docketlake.session import DEFAULTS
 
 
@@ -26,9 +26,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_file()).select("doc_id", "_trip.*")
 
 
+def op3_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_simhash_groups, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
