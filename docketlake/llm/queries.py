@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, packing, simhash
+from docketlake.llm import bpe, packing, simhash, topk
 from docketlake.session import DEFAULTS
 
 
@@ -35,5 +35,24 @@ def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_simhash_groups, op9_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_simhash_groups, op9_best_fit_packing, op10_exact_top_k)}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank,
+               vec_id, score
+        FROM s QUALIFY rank <= 5
+    """,
+}
