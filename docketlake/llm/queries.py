@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, packing, simhash, topk
+from docketlake.llm import bpe, packing, simhash, topk, vector_graph
 from docketlake.session import DEFAULTS
 
 
@@ -31,6 +31,10 @@ def op3_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_vector_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_file())
 
@@ -40,8 +44,23 @@ def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_simhash_groups, op9_best_fit_packing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_simhash_groups, op6_vector_graph, op9_best_fit_packing, op10_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {
+    "op6_vector_graph": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), r(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+        ), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
     "op10_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
