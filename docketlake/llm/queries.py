@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, packing, simhash, topk, vector_graph
+from docketlake.llm import bpe, langid, packing, quality, simhash, topk, vector_graph
+from docketlake.llm.text import fold
 from docketlake.session import DEFAULTS
 
 
@@ -21,6 +22,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(fold("doc_id", 3) != 1))
+    found = langid.predict(model, "text", spark)
+    return docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), found.alias("p")).select(
+        "doc_id", "held_out", "p.*")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, tokenizer_file()).select("doc_id", "_trip.*")
@@ -31,6 +40,16 @@ def op3_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's expected grade and tail probabilities, and whether it would be selected."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grades(table(spark, sf, "labels")))
+    rated = docs.select("doc_id", quality.predict(model, "text", spark).alias("p")).select("doc_id", "p.*")
+    return rated.select(
+        "doc_id", "expected_grade", F.element_at("tails", 1).alias("p_grade_1"),
+        F.element_at("tails", -1).alias("p_grade_2"), quality.selected(F.col("tails")).alias("keep"))
+
+
 def op6_vector_graph(spark: SparkSession, sf: str) -> DataFrame:
     return vector_graph.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
@@ -44,7 +63,9 @@ def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_simhash_groups, op6_vector_graph, op9_best_fit_packing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op6_vector_graph, op9_best_fit_packing, op10_exact_top_k,
+)}
 ORACLE_SQL: dict[str, str] = {
     "op6_vector_graph": """
         WITH RECURSIVE v AS (
