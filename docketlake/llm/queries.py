@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, langid, packing, quality, simhash, topk, vector_graph
+from docketlake.llm import bpe, kneser_ney, langid, packing, quality, simhash, topk, vector_graph
 from docketlake.llm.text import fold
 from docketlake.session import DEFAULTS
 
@@ -50,6 +50,15 @@ def op4_quality_grades(spark: SparkSession, sf: str) -> DataFrame:
         F.element_at("tails", -1).alias("p_grade_2"), quality.selected(F.col("tails")).alias("keep"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = kneser_ney.fit(docs.filter(fold("doc_id", 5) != 1))
+    return docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"),
+                       F.lit(model.total).cast("long").alias("train_tokens"),
+                       kneser_ney.score(model, "text").alias("p")).select(
+        "doc_id", "held_out", "train_tokens", "p.*")
+
+
 def op6_vector_graph(spark: SparkSession, sf: str) -> DataFrame:
     return vector_graph.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
@@ -64,7 +73,8 @@ def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op6_vector_graph, op9_best_fit_packing, op10_exact_top_k,
+    op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op5_kneser_ney,
+    op6_vector_graph, op9_best_fit_packing, op10_exact_top_k,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op6_vector_graph": """
