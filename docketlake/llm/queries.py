@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, kneser_ney, langid, packing, quality, simhash, topk, vector_graph
+from docketlake.llm import bpe, kneser_ney, langid, licenses, packing, quality, simhash, token_rollup, topk, vector_graph
 from docketlake.llm.text import fold
-from docketlake.session import DEFAULTS
+from docketlake.session import DEFAULTS, materialize, shared_folder
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -63,6 +65,50 @@ def op6_vector_graph(spark: SparkSession, sf: str) -> DataFrame:
     return vector_graph.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("_scan.sentences", ",").alias("sentences"),
+                        F.array_join("_scan.licences", ",").alias("licences"))
+
+
+def op8_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after four batches: documents under two tokenizers, texts without repeated
+    lines for those that have such, and toxic documents withdrawn; two batches arrive twice."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    docs = docs.withColumn("new", F.when(lines != F.col("text"), lines))
+    file = tokenizer_file()
+    counted = docs.select(
+        "doc_id", "source", "lang", F.col("new").isNotNull().alias("changed"),
+        token_rollup.words("text").alias("words"), F.octet_length("text").alias("bytes"),
+        token_rollup.words("new").alias("new_words"), F.octet_length("new").alias("new_bytes"),
+        bpe.count(file, "text").alias("ids"), bpe.count(file, "new").alias("new_ids"))
+    counted = materialize(counted, "counted")
+    versions = (("words", "words", "new_words"), ("word_bpe_49k", "ids", "new_ids"))
+
+    def changes(rows: DataFrame, op: str, before: bool, after: bool) -> DataFrame:
+        """Each document's change once per tokenizer version."""
+        none = F.lit(None)
+        per = [F.struct(
+            (now if before else none).alias("before"), (new if after else none).alias("after"))
+            for version, n, m in versions
+            for now, new in [(token_rollup.side(version, F.col(n), F.col("bytes")),
+                              token_rollup.side(version, F.col(m), F.col("new_bytes")))]]
+        return rows.select(F.lit(op).alias("op"), F.inline(F.array(*per)))
+
+    first = counted.withColumns({"new_words": F.col("words"), "new_ids": F.col("ids"), "new_bytes": F.col("bytes")})
+    current = counted.withColumns({
+        n: F.when(F.col("changed"), F.col(f"new_{n}")).otherwise(F.col(n)) for n in ("words", "ids", "bytes")})
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id").distinct()
+    revised = changes(counted.filter("changed"), "revise", True, True)
+    withdrawn = changes(current.join(toxic, "doc_id", "left_semi"), "delete", True, False)
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", changes(first, "insert", False, True))
+    for name, batch in (("lines", revised), ("toxic", withdrawn), ("lines", revised), ("toxic", withdrawn)):
+        rollup.commit(name, batch)
+    return rollup.totals()
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_file())
 
@@ -74,9 +120,43 @@ def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op5_kneser_ney,
-    op6_vector_graph, op9_best_fit_packing, op10_exact_top_k,
+    op6_vector_graph, op7_license_scan, op8_token_rollup, op9_best_fit_packing, op10_exact_top_k,
 )}
+def _license_sql() -> str:
+    """The same table of sentences and the same rules, for DuckDB."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def ids(ends: str) -> str:
+        split = f"string_split(regexp_replace(coalesce(text, ''), {quoted(ends)}, chr(1), 'g'), chr(1))"
+        near = f"list_filter({split}, lambda s: length(s) BETWEEN {licenses.SHORTEST} AND {licenses.SPARE})"
+        clean = f"list_transform({near}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
+        return f"list_transform(list_filter({clean}, lambda s: list_contains(map_keys(known), s)), lambda s: known[s])"
+
+    pairs = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licenses.SENTENCES.items())
+    steps = []
+    for k, (run, licence) in enumerate(licenses.RULES, 1):
+        mark = quoted("|" + "||".join(run) + "|")
+        steps.append(f"s{k} AS (SELECT * EXCLUDE (rest, hits), replace(rest, {mark}, '|') AS rest, "
+                     f"CASE WHEN contains(rest, {mark}) THEN list_append(hits, {quoted(licence)}) ELSE hits END AS hits "
+                     f"FROM s{k - 1})")
+    return f"""
+        WITH k AS (SELECT MAP {{{pairs}}} AS known), i AS (
+            SELECT doc_id, {ids(licenses.LINE_ENDS)} AS a, {ids(licenses.SENTENCE_ENDS)} AS b FROM documents, k
+        ), j AS (
+            SELECT doc_id, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS sentences FROM i
+        ), s0 AS (
+            SELECT doc_id, sentences, '|' || array_to_string(sentences, '||') || '|' AS rest, []::VARCHAR[] AS hits FROM j
+        ), {", ".join(steps)}, u AS (
+            SELECT doc_id, sentences, list_filter(hits, lambda x, n: list_position(hits, x) = n) AS hits
+            FROM s{len(licenses.RULES)}
+        )
+        SELECT doc_id, array_to_string(sentences, ',') AS sentences, array_to_string(hits, ',') AS licences FROM u
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": _license_sql(),
     "op6_vector_graph": """
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
