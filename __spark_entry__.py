@@ -29,15 +29,13 @@ from docketlake.sources.warehouse import filings, table
 from docketlake.streaming.throttle import throttle_verdicts
 
 try:  # the training-data operators are a part that may be left out
-    from docketlake.llm import queries as llm
+    import corpus_pipeline
+    import docketlake.llm.queries as llm
 except ModuleNotFoundError as missing:
-    if missing.name not in ("docketlake.llm", "corpus_pipeline"):
+    if missing.name not in ("corpus_pipeline", "docketlake.llm", "docketlake.llm.queries"):
         raise
     llm = None
 
-TITLE_CAP = 10
-c = F.col
-
 
 # --- shared steps ------------------------------------------------------------
 
@@ -500,7 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "titles_documents": _documents(lambda t: documents.titles_documents(t.job_titles)),
         "wage_documents": _documents(lambda t: documents.wage_documents(t.wage_benchmarks)),
         "throttle_verdicts": throttle,
-        **(llm.QUERIES if llm else {}),
+        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
