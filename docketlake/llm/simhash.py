@@ -239,6 +239,5 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side["_hash"])
     kept = docs.join(best, match(best), "left_semi")
     once = kept.join(repeated, match(repeated), "left_anti")
-    several = kept.join(repeated, match(repeated), "left_semi").withColumn(
-        "_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return once.union(several.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    several = kept.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(several)

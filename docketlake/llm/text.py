@@ -62,11 +62,13 @@ def sampled(rows: DataFrame, group: str, per_group: int, salt: str, most_groups:
     """About ``per_group`` rows of each value of ``group``, chosen by a hash of the rows.
 
     The choice depends on the rows alone, so a repeated task makes it again. The
-    groups are counted first; no row is shuffled by group. ``per_group *
-    most_groups`` is a hard bound on the result.
+    groups are counted first, and the counts of the ``most_groups`` largest are
+    broadcast, so that no row is shuffled by group. ``per_group * most_groups`` is a
+    hard bound on the result.
     """
     order = F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in rows.columns])
-    counts = rows.groupBy(group).count().withColumnRenamed(group, "_g")
+    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups)
+    counts = F.broadcast(counts.withColumnRenamed(group, "_g"))
     share = F.lit(float(per_group)) / F.col("count")
     unit = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
     picked = rows.join(counts, F.col(group) == F.col("_g")).filter(unit < share)
