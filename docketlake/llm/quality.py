@@ -2,11 +2,14 @@
 
 A rating is a grade from 0 up. One set of weights over hashed text features is
 shared by all grades; ordered thresholds cut the score, with a logistic link:
-P(grade >= k) = sigmoid(score - threshold k). Features are the words (lower case,
-letters and digits only) and their shapes (runs of letters, capitals and digits as
-one sign), by logarithmic counts, scaled to length one per text. The weights are
-learned on the driver from a bounded sample of rated texts (``PER_GRADE`` rows of
-each grade, by hash); every text is scored whole.
+P(grade >= k) = sigmoid(score - threshold k). Features are a text's words (lower
+case, letters and digits only), their first four letters, and the shapes of its
+tokens (runs of letters, capitals and digits as one sign); a feature's value is one
+plus the logarithm of its count. The weights are learned on the driver from a
+bounded sample of rated texts (``PER_GRADE`` rows of each grade, by hash), weighted
+back to the grades' true shares. Only features whose likelihood-ratio statistic
+against the grade reaches ``LEAST_TEST`` have a weight: texts hold far more words
+than there are ratings. Every text is scored whole.
 
 Null and empty texts have no features and get the score zero. Rows without rating
 teach nothing. Without any rating every text gets grade 0 with probability one half.
@@ -14,7 +17,7 @@ teach nothing. Without any rating every text gets grade 0 with probability one h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.text import Words, sampled, slices
+from docketlake.session import materialize
 
 BITS = 18
+#: A text is selected if its best grade is at least so likely.
+LEAST = 0.4
 #: Bound of the sample that the weights are learned from, and most grades.
-PER_GRADE, GRADES = 2000, 8
-ROUNDS, RATE, L2 = 250, 0.5, 1e-6
+PER_GRADE, GRADES = 3000, 8
+#: Statistic that a feature must reach, penalty, and rounds and memory of the descent.
+LEAST_TEST, L2, ROUNDS, MEMORY = 80.0, 1e-4, 150, 10
 
 
 def _buckets(values: pa.Array, kind: int) -> np.ndarray:
@@ -48,16 +55,14 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         shape = pc.replace_substring_regex(words.distinct, r"\p{Lu}{2,}", "AA")
         for pattern, sign in ((r"[\p{Ll}\p{Lo}\p{Lm}]+", "a"), (r"\p{N}+", "0")):
             shape = pc.replace_substring_regex(shape, pattern, sign)
+        start = pc.utf8_slice_codeunits(plain, 0, 4)
         owner = np.repeat(np.arange(len(part)), words.ends - words.starts)
         pairs = []
-        for bucket in (_buckets(plain, 1), _buckets(shape, 2)):
+        for bucket in (_buckets(plain, 1), _buckets(shape, 2), _buckets(start, 3)):
             b = bucket[words.ids] if len(words.ids) else np.zeros(0, np.int64)
             pairs.append((owner << BITS | b)[b >= 0])
         pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-        owner, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
-        value = 1 + np.log(n)
-        length = np.sqrt(np.bincount(owner, value * value, len(part)))
-        yield bucket, value / length[owner], np.cumsum(np.bincount(owner, minlength=len(part)))
+        yield pair & ((1 << BITS) - 1), 1 + np.log(n), np.cumsum(np.bincount(pair >> BITS, minlength=len(part)))
 
 
 def sparse(text: str | Column) -> Column:
@@ -88,32 +93,80 @@ class Model:
         return sigmoid(score[:, None] - self.thresholds)
 
 
-def learn(ids: np.ndarray, x: np.ndarray, ends: np.ndarray, grade: np.ndarray) -> Model:
-    """Full-batch descent with per-weight steps on the cumulative-link log loss."""
-    top = int(grade.max())
-    share = np.array([(grade >= k).mean() for k in range(1, top + 1)])
-    first = np.log((1 - share) / share)  # thresholds of a constant model
-    w, base, gaps = np.zeros(1 << BITS), first[0], np.log(np.maximum(np.diff(first), 1e-2))
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    sums = [np.full(1 << BITS, 1e-8), np.full(1, 1e-8), np.full(len(gaps), 1e-8)]
+def telling(ids: np.ndarray, owner: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """The buckets whose presence depends on the grade, by the likelihood-ratio statistic."""
+    top, size = int(grade.max()) + 1, 1 << BITS
+    rows = np.bincount(grade, minlength=top).astype(float)
+    seen = np.stack([np.bincount(ids[grade[owner] == k], minlength=size) for k in range(top)]).astype(float)
+    share, total = rows / rows.sum(), seen.sum(0)
+    test = np.zeros(size)
+    for k in range(top):
+        for observed, expected in ((seen[k], total * share[k]), (rows[k] - seen[k], (rows.sum() - total) * share[k])):
+            some = observed > 0
+            test[some] += 2 * observed[some] * np.log(observed[some] / expected[some])
+    return np.flatnonzero(test >= LEAST_TEST)
+
+
+def descend(loss: Callable, x: np.ndarray) -> np.ndarray:
+    """Limited-memory quasi-Newton descent of a function that returns value and gradient."""
+    value, gradient = loss(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(ROUNDS):
-        cuts = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(owner, x * w[ids], len(ends))
+        way, scales = gradient.copy(), []
+        for s, y in reversed(steps):
+            scales.append((s @ way) / (s @ y))
+            way -= scales[-1] * y
+        way *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1, np.linalg.norm(way))
+        for (s, y), a in zip(steps, reversed(scales)):
+            way += s * (a - (y @ way) / (s @ y))
+        step = 1.0
+        while True:
+            there, slope = loss(x - step * way), step * (gradient @ way)
+            if there[0] <= value - 1e-4 * slope or step < 1e-8:
+                break
+            step /= 2
+        s, y = -step * way, there[1] - gradient
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-MEMORY:]
+        done = abs(value - there[0]) < 1e-8 * max(1, abs(value))
+        x, (value, gradient) = x + s, there
+        if done:
+            break
+    return x
+
+
+def learn(ids: np.ndarray, x: np.ndarray, ends: np.ndarray, grade: np.ndarray, share: np.ndarray) -> Model:
+    """Fit the cumulative-link log loss; ``share`` is each grade's share of all rated rows."""
+    top, owner = int(grade.max()), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    used = telling(ids, owner, grade)
+    column = np.full(1 << BITS, -1)
+    column[used] = np.arange(len(used))
+    known = column[ids] >= 0
+    col, x, owner, size, at = column[ids[known]], x[known], owner[known], len(used), np.arange(len(ends))
+    weight = (share / np.maximum(np.bincount(grade, minlength=len(share)), 1))[grade]
+    weight /= weight.sum()
+
+    def cuts_of(base: float, gaps: np.ndarray) -> np.ndarray:
+        return base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        w, cuts = p[:size], cuts_of(p[size], p[size + 1 :])
+        score = np.bincount(owner, x * w[col], len(ends))
         tails = np.column_stack([np.ones(len(score)), sigmoid(score[:, None] - cuts), np.zeros(len(score))])
-        slope = tails * (1 - tails)
-        at = np.arange(len(score))
-        p = np.maximum(tails[at, grade] - tails[at, grade + 1], 1e-12)
-        up, down = slope[at, grade] / p, slope[at, grade + 1] / p
-        g = -(up - down) / len(score)
-        by_cut = np.stack([(np.where(grade == k, up, 0) - np.where(grade == k - 1, down, 0)).mean() for k in range(1, top + 1)])
+        slope, chance = tails * (1 - tails), np.maximum(tails[at, grade] - tails[at, grade + 1], 1e-12)
+        up, down = weight * slope[at, grade] / chance, weight * slope[at, grade + 1] / chance
+        by_cut = np.array([up[grade == k].sum() - down[grade == k - 1].sum() for k in range(1, top + 1)])
         after = np.cumsum(by_cut[::-1])[::-1]  # a gap moves its cut and all above
-        grads = [np.bincount(ids, x * g[owner], 1 << BITS) + L2 * w, after[:1], after[1:] * np.exp(gaps)]
-        for s, d in zip(sums, grads):
-            s += d * d
-        w = w - RATE * grads[0] / np.sqrt(sums[0])
-        base = base - 0.1 * RATE * grads[1][0] / np.sqrt(sums[1][0])
-        gaps = gaps - 0.1 * RATE * grads[2] / np.sqrt(sums[2])
-    return Model(w.astype(np.float32), base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
+        return (L2 / 2 * (w @ w) - (weight * np.log(chance)).sum(),
+                np.concatenate([np.bincount(col, x * (down - up)[owner], size) + L2 * w, after[:1],
+                                after[1:] * np.exp(p[size + 1 :])]))
+
+    tail = np.clip([weight[grade >= k].sum() for k in range(1, top + 1)], 1e-3, 1 - 1e-3)
+    first = np.log((1 - tail) / tail)  # thresholds of a constant model
+    p = descend(loss, np.concatenate([np.zeros(size), first[:1], np.log(np.maximum(np.diff(first), 1e-2))]))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = p[:size]
+    return Model(weights, cuts_of(p[size], p[size + 1 :]))
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -125,7 +178,9 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Model:
     """Learn from the texts of ``docs`` that ``ratings`` (doc_id, grade) rates."""
-    rated = ratings.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    rated = materialize(ratings.join(docs.select("doc_id"), "doc_id", "left_semi"), "rated")
+    rated = rated.filter(F.col("grade").between(0, GRADES - 1))
+    counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
     sample = sampled(rated, "grade", per_grade, "quality", GRADES).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
     rows = rows.limit(2 * per_grade * GRADES)  # identifiers may repeat
@@ -135,7 +190,8 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Mode
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(1))
     ids, x = (pc.struct_field(table["x"].combine_chunks(), name) for name in ("ids", "x"))
     ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
-    return learn(ids.flatten().to_numpy().astype(np.int64), x.flatten().to_numpy().astype(float), ends, grade)
+    share = np.array([counts.get(k, 0) for k in range(int(grade.max()) + 1)], float)
+    return learn(ids.flatten().to_numpy().astype(np.int64), x.flatten().to_numpy().astype(float), ends, grade, share)
 
 
 def predict(model: Model, text: str | Column, spark) -> Column:
@@ -155,6 +211,6 @@ def predict(model: Model, text: str | Column, spark) -> Column:
     return rate(text)
 
 
-def selected(tails: Column, least: float = 0.5) -> Column:
+def selected(tails: Column, least: float = LEAST) -> Column:
     """Whether the best grade is at least as likely as ``least``; unrated models select all."""
     return F.element_at(tails, -1) >= least

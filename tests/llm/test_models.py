@@ -94,8 +94,9 @@ def test_quality_held_out(spark):
     model = quality.fit(docs, rated.filter(fold("doc_id", 3) != 1))
     held = docs.join(rated.filter(fold("doc_id", 3) == 1), "doc_id")
     rows = held.select("grade", quality.predict(model, "text", spark).alias("p")).select("grade", "p.*").collect()
-    assert np.mean([(r["tails"][-1] >= 0.5) == (r["grade"] == 2) for r in rows]) > 0.95
-    assert np.mean([(r["tails"][0] >= 0.5) == (r["grade"] >= 1) for r in rows]) > 0.95
+    kept = {g: np.mean([r["tails"][-1] >= quality.LEAST for r in rows if r["grade"] == g]) for g in range(3)}
+    assert kept[2] > 0.98 and kept[0] < 0.25  # few hundred ratings of each rare grade to learn from
+    assert np.mean([(r["tails"][-1] >= 0.5) == (r["grade"] == 2) for r in rows]) > 0.88
     assert all(r["tails"][0] >= r["tails"][1] for r in rows)  # ordered thresholds
     assert all(r["expected_grade"] == pytest.approx(sum(r["tails"])) for r in rows)
 
@@ -117,7 +118,7 @@ def test_gradient_of_the_ordinal_loss():
     n = 600
     ids, ends = np.arange(n) % 5, np.arange(1, n + 1)
     grade = np.minimum(ids // 2, 2) + (rng.random(n) < 0.1)
-    model = quality.learn(ids, np.ones(n), ends, np.minimum(grade, 2))
+    model = quality.learn(ids, np.ones(n), ends, np.minimum(grade, 2), np.bincount(np.minimum(grade, 2)) / n)
     tails = model.tails(model.weights[:5])
     for k in (1, 2):
         seen = [(np.minimum(grade, 2)[ids == i] >= k).mean() for i in range(5)]
