@@ -321,7 +321,7 @@ def employer_prefix_heads(spark, sf):
 
 
 def title_prefix_heads(spark, sf):
-    return search.title_index(title_corpus(spark, sf), TITLE_CAP, materialize)
+    return search.title_index(title_corpus(spark, sf), search.CAP, materialize)
 
 
 def prefix_index(spark, sf):
@@ -351,18 +351,54 @@ def index_reachability(spark, sf):
     return _plain(search.reachability(employer_prefix_heads(spark, sf), entries))
 
 
-def search_lookup(spark, sf):
+def _search_lookup(spark, sf, root, docs):
     """Every supplier and part name, and every customer name as filed, as a query."""
     asked = table(_ready(spark), sf, "supplier").select(c("s_name").alias("q")).union(
         table(spark, sf, "part").select("p_name")).union(
         filings(spark, sf).lca.select("employer_name")).distinct()
     asked = materialize(asked.filter(c("q").isNotNull()), "queries")
-    docs = documents.employer_search_documents(employer_prefix_heads(spark, sf))
     stored = materialize(docs, "search-documents")
-    return lookup.search(stored, asked, "s", materialize).select(
+    return lookup.search(stored, asked, root, materialize).select(
         "q", "prefix", "hit", "status", "body")
 
 
+def search_lookup(spark, sf):
+    docs = documents.employer_search_documents(employer_prefix_heads(spark, sf))
+    return _search_lookup(spark, sf, "s", docs)
+
+
+def title_search_lookup(spark, sf):
+    docs = documents.title_search_documents(title_prefix_heads(spark, sf))
+    return _search_lookup(spark, sf, "t", docs)
+
+
+def meta_lookup(spark, sf):
+    docs = documents.meta_document(
+        documents.table_counts(_tables(spark, sf)), _title_docs(spark, sf), "2026-01-01T00:00:00+00:00")
+    asked = table(_ready(spark), sf, "region").select(c("r_name").alias("caller"))
+    return lookup.lookup_meta(docs, asked).select("caller", "doc_key", "status", "body")
+
+
+def jobs_lookup(spark, sf):
+    """Every identifier as filed, asked for its jobs document."""
+    docs = documents.jobs_documents(_tables(spark, sf).jobs)
+    asked = filings(_ready(spark), sf).lca.select(c("employer_fein").alias("id")).distinct()
+    return lookup.lookup_entity(docs, asked.filter(c("id").isNotNull()), "jobs").select(
+        "id", "doc_key", "status", F.length("body").cast("long").alias("n_chars"))
+
+
+def sql_functions(spark, sf):
+    """The registered SQL functions on every filing's columns."""
+    raw = filings(_ready(spark), sf).lca
+    nz.register_sql_functions(spark)
+    return raw.groupBy(
+        F.expr("norm_soc(soc_code)").alias("soc"), F.expr("norm_level(pw_wage_level)").alias("level"),
+        F.expr("norm_bool(secondary_entity)").cast("string").alias("secondary"),
+        F.expr("norm_ein(employer_fein)").alias("ein"), F.expr("norm_name(employer_name)").alias("nm"),
+        F.expr("emp_key(norm_ein(employer_fein), NULL, norm_name(employer_name))").alias("key"),
+    ).agg(F.count("*").alias("n"))
+
+
 def point_lookup(spark, sf):
     """Every identifier as filed, asked for its titles document."""
     docs = _rendered(_ready(spark).sparkContext.applicationId, spark, sf, None)
@@ -455,9 +491,9 @@ def identifier_audit(spark, sf):
 
 
 def throttle(spark, sf):
-    """Calls grouped under few callers, so that most are throttled."""
+    """Every user's calls, throttled by two tiers."""
     events = table(_ready(spark), sf, "events").select(
-        "event_id", F.substring(c("user_id").cast("string"), 1, 1).alias("caller"),
+        "event_id", c("user_id").cast("string").alias("caller"),
         F.when(c("event_type").isin("signup", "purchase", "error"), "mint").otherwise("lookup")
         .alias("tier"),
         c("ts").cast("timestamp").alias("ts"),
@@ -482,7 +518,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         titles_rollup, fact_entity_join, entity_profile, wage_ratio, evidence_flags,
         export_flags, serving_row_counts, title_corpus, prefix_index, employer_prefix_heads,
         title_prefix_heads, employer_search_documents, title_search_documents,
-        index_reachability, search_lookup, point_lookup, wage_lookup, publish_plan,
+        index_reachability, search_lookup, title_search_lookup, point_lookup, jobs_lookup,
+        wage_lookup, meta_lookup, sql_functions, publish_plan,
         publish_plan_scoped, next_manifest, publish_report, meta_document, gates,
         top_entities, identifier_audit,
     ]

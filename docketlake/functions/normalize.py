@@ -24,6 +24,10 @@ WAGE_LEVELS = ("I", "II", "III", "IV")
 SEARCH_SPACE = (
     " \t\n\u000b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+# White space in names: all of Unicode's, with the ASCII separators and NEL.
+NAME_SPACE = (
+    " \t-\r\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SOC_PATTERN = "^[0-9]{2}-[0-9]{4}"
 MAX_DEPTH = 10
 # End of fixed values.
@@ -57,7 +61,7 @@ def norm_ein(number: Column) -> Column:
 
 def norm_name(name: Column) -> Column:
     """The spelling two filings of one entity must share."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(name), "\\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(F.lower(name), f"[{NAME_SPACE}]+", " ")), F.lit(""))
 
 
 def entity_key(own_id: Column, mapped_id: Column, name: Column) -> Column:
@@ -243,7 +247,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
             f"({_quoted(BUSINESS_ID_PREFIXES)}) THEN regexp_replace(t, '[^0-9]', '') END",
         ),
         "norm_name(t STRING)": (
-            "STRING", r"nullif(trim(regexp_replace(lower(t), '\\s+', ' ')), '')",
+            "STRING", f"nullif(trim(regexp_replace(lower(t), '[{NAME_SPACE}]+', ' ')), '')",
         ),
         "emp_key(own STRING, mapped STRING, nm STRING)": (
             "STRING", "coalesce(own, mapped, concat('n-', substr(md5(nm), 1, 16)))",

@@ -1,25 +1,20 @@
 """Exact continuous percentiles per group, without a large group in one task.
 
-Rows are first counted per (group, value). Groups of few distinct values, nearly
-all of them, are ordered whole, one next to the other. In a group of many, a
-value belongs to a coarse bucket that is monotone in the value; the bucket
-counts, a short list, tell which bucket holds each wanted rank, and only those
-buckets are ordered, each on its own.
+Rows are first counted per (group, value). A value belongs to a coarse bucket that
+is monotone in the value; the bucket counts, a short list, tell which bucket holds
+each wanted rank, and only those buckets are ordered, each on its own. Groups of
+every size go the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.operators.identity import union_all
 from docketlake.operators.joins import join_null_safe
 
-#: Distinct values up to which a group is ordered whole.
-LARGE = 200_000
-
 
 def coarse_bucket(value: Column, steps: int = 64) -> Column:
     """Signed logarithmic bucket, non-decreasing in ``value``.
@@ -72,58 +67,30 @@ def grouped_percentiles(
     probs: Mapping[str, str],
     scale: int = 2,
     extra: Mapping[str, Column] | None = None,
-    large: int = LARGE,
-    cut: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Percentiles of a histogram (group, value, n) with linear interpolation.
 
     ``probs`` maps output names to decimal literals ("0.25"), ``extra`` output
-    names to aggregates over histogram rows. Adds ``n``, the rows per group.
-    With ``cut`` the histogram is taken to be stored and is looked at first: the
-    large groups are stored too, so that their measured size decides how they are
-    joined, and without any the plan is the one for whole groups alone.
+    names to aggregates over histogram rows. Adds ``n``, the rows per group. The
+    histogram is read three times and should be stored.
     """
-    group, extra = list(group), dict(extra or {})
+    group, extra, c = list(group), dict(extra or {}), F.col
     extras = [e.alias(name) for name, e in extra.items()]
-    wide = hist.groupBy(*group).agg(F.count("*").alias("_values")).filter(F.col("_values") > large)
-    wide = wide.drop("_values")
-    if cut:
-        wide = cut(wide, "large-groups")
-    c = F.col
-
-    # Whole groups: one shuffle serves the order, the ranks and the result.
-    none_large = cut is not None and wide.isEmpty()
-    narrow = hist if none_large else join_null_safe(hist, wide, group, "left_anti")
-    placed = narrow.withColumn("_end", F.sum("n").over(_running(*group, order=value))).withColumn(
-        "_all", F.sum("n").over(Window.partitionBy(*group))
-    )
-    ordered = placed.groupBy(*group).agg(
-        F.max("_all").alias("_n"), *extras,
-        *_interpolated(_spots(c("_all"), probs), c(value), c("_end") - c("n"), c("_end"), scale),
-    )
-    if none_large:
-        return ordered.withColumnRenamed("_n", "n")
-
-    # Large groups: the same within the buckets that hold a wanted rank.
-    big = join_null_safe(hist, wide, group, "left_semi").withColumn(
-        "_bucket", coarse_bucket(c(value))
-    )
-    totals = big.groupBy(*group).agg(F.sum("n").alias("_n"), *extras)
-    buckets = big.groupBy(*group, "_bucket").agg(F.sum("n").alias("_count"))
+    placed = hist.withColumn("_bucket", coarse_bucket(c(value)))
+    totals = hist.groupBy(*group).agg(F.sum("n").alias("_n"), *extras)
+    buckets = placed.groupBy(*group, "_bucket").agg(F.sum("n").alias("_count"))
     upto = buckets.withColumn("_upto", F.sum("_count").over(_running(*group, order="_bucket")))
-    spotted = join_null_safe(upto, totals, group)
     ranks = F.array(*[
         f(s).cast("long") for s in _spots(c("_n"), probs).values() for f in (F.floor, F.ceil)
     ])
     below = c("_upto") - c("_count")
-    wanted = spotted.withColumn("_below", below).filter(
+    wanted = join_null_safe(upto, totals, group).withColumn("_below", below).filter(
         F.exists(ranks, lambda r: (r >= below) & (r < c("_upto")))
     ).drop("_upto", "_count")
-    values = big.select(*group, "_bucket", value, c("n").alias("_c"))
+    values = placed.select(*group, "_bucket", value, c("n").alias("_c"))
     hit = join_null_safe(values, wanted, [*group, "_bucket"]).withColumn(
         "_end", c("_below") + F.sum("_c").over(_running(*group, "_bucket", order=value))
     )
-    bucketed = hit.groupBy(*group, "_n", *extra).agg(
+    return hit.groupBy(*group, "_n", *extra).agg(
         *_interpolated(_spots(c("_n"), probs), c(value), c("_end") - c("_c"), c("_end"), scale)
-    ).select(*ordered.columns)
-    return union_all(ordered, bucketed).withColumnRenamed("_n", "n")
+    ).withColumnRenamed("_n", "n")

@@ -88,7 +88,7 @@ def prefix_index(
 
 
 def index_documents(heads: DataFrame, root: str, results: Sequence[Column]) -> DataFrame:
-    """(family, key, page, body) with ``{prefix, total, results}``, at most the cap long."""
+    """(family, key, body) with ``{prefix, total, results}``, at most the cap long."""
     grouped = heads.groupBy("prefix", "total").agg(
         ordered_array(F.col("rank"), F.struct(*results).alias("hit")).alias("_ranked")
     )
@@ -97,7 +97,6 @@ def index_documents(heads: DataFrame, root: str, results: Sequence[Column]) -> D
     return grouped.select(
         F.lit(root).alias("family"),
         F.concat(F.lit(f"{root}/"), F.col("prefix"), F.lit(".json")).alias("key"),
-        F.lit(0).alias("page"),
         F.to_json(body, {"ignoreNullFields": "false"}).alias("body"),
     )
 

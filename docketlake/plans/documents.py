@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 from docketlake.functions.aggregates import ordered_array
 from docketlake.operators import search
 from docketlake.operators.identity import union_all
-from docketlake.operators.joins import join_null_safe
 from docketlake.plans.rebuild import ServingTables
 
-#: Rows one document page holds. The largest entity known has 34,044 job rows,
-#: so real entities stay on one page; an entity that dominates the data is cut
-#: into pages instead of one unbounded array.
-PAGE_ROWS = 50_000
-
 
 def number(value: Column) -> Column:
     """Decimals are JSON numbers, never strings."""
@@ -29,12 +23,11 @@ def json_body(document: Column) -> Column:
     return F.to_json(document, {"ignoreNullFields": "false"})
 
 
-def document(family: str, key: Column, body: Column, page: Column | None = None) -> list[Column]:
-    page = F.lit(0) if page is None else page
-    return [
-        F.lit(family).alias("family"), key.alias("key"), page.cast("int").alias("page"),
-        json_body(body).alias("body"),
-    ]
+# The JSON field names below are the contract of the documents.
+
+
+def document(family: str, key: Column, body: Column) -> list[Column]:
+    return [F.lit(family).alias("family"), key.alias("key"), json_body(body).alias("body")]
 
 
 def seal(docs: DataFrame) -> DataFrame:
@@ -44,32 +37,6 @@ def seal(docs: DataFrame) -> DataFrame:
     )
 
 
-def paged_key(stem: Column, page: Column) -> Column:
-    """``stem.json`` for the first page, ``stem.2.json`` and on for the others."""
-    tail = F.when(page > 0, F.concat(F.lit("."), (page + 1).cast("string"))).otherwise(F.lit(""))
-    return F.concat(stem, tail, F.lit(".json"))
-
-
-def with_pages(
-    rows: DataFrame, doc: Sequence[str], block: Sequence[Column], page_rows: int
-) -> DataFrame:
-    """Add ``page``: blocks of rows in order, a page closing at ``page_rows``.
-
-    ``block`` columns are a leading part of the document order. Only their
-    counts are lined up per document; the rows themselves join their block's
-    page and are grouped by (document, page).
-    """
-    names = [f"_b{i}" for i in range(len(block))]
-    cut = rows.withColumns(dict(zip(names, block)))
-    counts = cut.groupBy(*doc, *names).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*doc).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    pages = counts.select(
-        *doc, *names, F.floor(start / F.lit(page_rows)).cast("int").alias("page")
-    )
-    return join_null_safe(cut, pages, [*doc, *names]).drop(*names)
-
-
 def _last(value: Column) -> list[Column]:
     """Sort fields that put NULL behind every value."""
     return [value.isNull(), value]
@@ -137,60 +104,46 @@ def profile_documents(tables: ServingTables) -> DataFrame:
     return rows.select(*document("profile", F.concat(F.lit("e/"), "key", F.lit(".json")), body))
 
 
-def jobs_documents(jobs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def jobs_documents(jobs: DataFrame) -> DataFrame:
     c = F.col
-    block = [-c("year"), c("soc_code"), *_last(c("level")), *_last(c("state"))]
-    order = [*block, *_last(c("county")), *_last(c("zip"))]
+    order = [-c("year"), c("soc_code"), *_last(c("level")), *_last(c("state")), *_last(c("county")), *_last(c("zip"))]
     row = F.struct(
         "year", "soc_code", "level", number(c("avg_wage")).alias("avg_offered_wage"),
         number(c("min_wage")).alias("min_wage"), number(c("max_wage")).alias("max_wage"),
         number(c("avg_prev_wage")).alias("avg_prevailing_wage"),
         "state", "county", "zip", "n_filings",
     )
-    grouped = with_pages(jobs, ["key"], block, page_rows).groupBy("key", "page").agg(
-        _sorted_payload(order, row).alias("jobs")
-    )
-    stem = F.concat(F.lit("e/"), "key", F.lit("/jobs"))
+    grouped = jobs.groupBy("key").agg(_sorted_payload(order, row).alias("jobs"))
     body = F.struct(c("key").alias("id"), "jobs")
-    return grouped.select(*document("jobs", paged_key(stem, c("page")), body, c("page")))
+    return grouped.select(*document("jobs", F.concat(F.lit("e/"), "key", F.lit("/jobs.json")), body))
 
 
-def titles_documents(titles: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def titles_documents(titles: DataFrame) -> DataFrame:
     c = F.col
-    block = [-c("n_filings"), c("soc_code"), F.substring("title", 1, 2)]
     order = [-c("n_filings"), c("soc_code"), c("title")]
+    # Maps cannot be part of a sort key; the mix rides along as its entries.
     row = F.struct(
         "soc_code", "title", "n_filings", number(c("avg_wage")).alias("avg_wage"),
         number(c("min_wage")).alias("min_wage"), number(c("max_wage")).alias("max_wage"),
-        F.to_json("level_mix").alias("level_mix"),
-    )
-    # Maps cannot be part of a sort key; the mix rides along as text.
-    grouped = with_pages(titles, ["key"], block, page_rows).groupBy("key", "page").agg(
-        _sorted_payload(order, row).alias("titles")
-    )
-    restored = F.transform(
-        "titles",
-        lambda t: t.withField(
-            "level_mix",
-            F.coalesce(F.from_json(t["level_mix"], "map<string,bigint>"), F.create_map()),
-        ),
+        F.map_entries("level_mix").alias("level_mix"),
     )
-    stem = F.concat(F.lit("e/"), "key", F.lit("/titles"))
+    grouped = titles.groupBy("key").agg(_sorted_payload(order, row).alias("titles"))
+    restored = F.transform("titles", lambda t: t.withField(
+        "level_mix", F.coalesce(F.map_from_entries(t["level_mix"]), F.create_map())))
     body = F.struct(c("key").alias("id"), restored.alias("titles"))
-    return grouped.select(*document("titles", paged_key(stem, c("page")), body, c("page")))
+    return grouped.select(*document("titles", F.concat(F.lit("e/"), "key", F.lit("/titles.json")), body))
 
 
-def wage_documents(benchmarks: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def wage_documents(benchmarks: DataFrame) -> DataFrame:
     c = F.col
     doc = ["soc_code", "level"]
     stat = F.struct(
         "year", "n_filings", "employer_count",
         *[number(c(p)).alias(p) for p in ("p25", "p50", "p75", "mean", "min_wage", "max_wage")],
     )
-    paged = with_pages(benchmarks, doc, [c("scope"), *_last(c("state"))], page_rows)
     place = F.when(c("scope") == "zip", c("zip")).when(c("scope") == "state", c("state"))
     # First one array per place, then the places of each scope into their map.
-    places = paged.groupBy(*doc, "page", "scope", place.alias("place")).agg(
+    places = benchmarks.groupBy(*doc, "scope", place.alias("place")).agg(
         _sorted_payload([*_last(c("state")), *_last(c("zip")), c("year")], stat).alias("stats")
     )
 
@@ -201,12 +154,12 @@ def wage_documents(benchmarks: DataFrame, page_rows: int = PAGE_ROWS) -> DataFra
         return F.map_from_entries(F.array_sort(entries))
 
     national = F.flatten(F.collect_list(F.when(c("scope") == "national", c("stats"))))
-    grouped = places.groupBy(*doc, "page").agg(
+    grouped = places.groupBy(*doc).agg(
         national.alias("national"), of("state").alias("states"), of("zip").alias("zips")
     )
-    stem = F.concat(F.lit("w/"), "soc_code", F.lit("/"), F.coalesce("level", F.lit("NA")))
+    stem = F.concat(F.lit("w/"), "soc_code", F.lit("/"), F.coalesce("level", F.lit("NA")), F.lit(".json"))
     body = F.struct("soc_code", "level", "national", "states", "zips")
-    return grouped.select(*document("wages", paged_key(stem, c("page")), body, c("page")))
+    return grouped.select(*document("wages", stem, body))
 
 
 def employer_search_documents(heads: DataFrame) -> DataFrame:
@@ -250,10 +203,9 @@ def meta_document(counts: DataFrame, manifest: DataFrame, built_at: str) -> Data
 
 
 def all_documents(
-    tables: ServingTables, page_rows: int = PAGE_ROWS, cap: int = search.CAP,
-    cut: search.Cut | None = None,
+    tables: ServingTables, cap: int = search.CAP, cut: search.Cut | None = None,
 ) -> DataFrame:
-    """(family, key, page, body, sha256, n_bytes) of every family but meta.
+    """(family, key, body, sha256, n_bytes) of every family but meta.
 
     ``tables`` should be stored ones: several families read the same table.
     """
@@ -262,9 +214,9 @@ def all_documents(
     return seal(
         union_all(
             profile_documents(tables),
-            jobs_documents(tables.jobs, page_rows),
-            titles_documents(tables.job_titles, page_rows),
-            wage_documents(tables.wage_benchmarks, page_rows),
+            jobs_documents(tables.jobs),
+            titles_documents(tables.job_titles),
+            wage_documents(tables.wage_benchmarks),
             employer_search_documents(search.employer_index(entries, cap, cut)),
             title_search_documents(search.title_index(corpus, cap, cut)),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,29 +28,32 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
         builder = builder.master(master)
     for name, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    find_package(spark)
+    return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input that arrives in fewer splits than there are cores.
-
-    One small or unsplittable file would otherwise run all of its row work in a
-    single task. Decided on the planned split count: a large table has more
-    splits than cores and is returned untouched, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on machines that have this package's folder import it."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, home]))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables.
+    """The folder the cluster names for intermediate tables, ``spark.checkpoint.dir``.
 
-    Only where nothing is configured (tests, a laptop) is a temporary folder
-    taken, and remembered in the session so that one session uses one folder.
+    Without one a session in a single process (``local[n]``, as in tests) takes a
+    temporary folder, and any other is an error: its machines share no such folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     folder = tempfile.mkdtemp(prefix="docketlake-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

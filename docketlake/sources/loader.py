@@ -11,7 +11,11 @@ from docketlake.operators.identity import union_all
 from docketlake.operators.staging import RawFilings
 from docketlake.schema import LAYOUTS, readable
 
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy")
+#: Spellings of dates in spreadsheet exports; times of day are dropped.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
+    "d-MMM-yy", "d-MMM-yyyy",
+)
 FISCAL = "FY([0-9]{4})(?:_Q([1-4]))?"
 
 
@@ -25,59 +29,112 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> list[st
 
 
 def _typed(text: Column, dtype: str) -> Column:
-    """Dirty cells become NULL instead of failing the load."""
+    """A cell as its type; NULL where it does not parse, which ``unparsed`` counts."""
     value = F.nullif(F.trim(text), F.lit("")) if dtype != "string" else text
     if dtype == "date":
         parsed = [F.try_to_timestamp(value, F.lit(f)).cast("date") for f in DATE_FORMATS]
         return F.coalesce(*parsed)
     if dtype == "string":
         return value
-    return F.regexp_replace(value, "[$,]", "").try_cast(dtype)
+    plain = F.regexp_replace(value, "[$,]", "")
+    if dtype in ("int", "bigint", "smallint"):
+        number = plain.try_cast("decimal(38,10)")  # spreadsheets write whole numbers as 1.0
+        return F.when(number == F.floor(number), number.try_cast(dtype))
+    return plain.try_cast(dtype)
 
 
-def load_file(
-    spark: SparkSession, path: str, source: str, renames: Mapping[str, str] | None = None
-) -> DataFrame:
-    """One delimited file mapped by column name onto the superset layout.
+Renames = Mapping[str, str]
 
-    Columns the file lacks are NULL. A column the layout does not know is an
-    error unless ``renames`` maps it, so a renamed column surfaces here. Year
-    and quarter come from the file name.
-    """
-    layout = LAYOUTS[source]
+
+def _columns(header: Iterable[str], source: str, renames: Renames | None) -> dict[str, str]:
+    """Layout column to file column; a column the layout does not know is an error."""
     renames = {k.lower(): v for k, v in (renames or {}).items()}
-    raw = spark.read.csv(path, header=True, multiLine=False, escape='"')
-    columns = {renames.get(c.strip().lower(), c.strip().lower()): c for c in raw.columns}
-    unknown = sorted(set(columns) - set(layout))
+    columns = {renames.get(c.strip().lower(), c.strip().lower()): c for c in header}
+    unknown = sorted(set(columns) - set(LAYOUTS[source]))
     if unknown:
-        raise ValueError(f"{path}: columns not in the {source} layout: {unknown}")
-    name = F.col("_metadata.file_path")
+        raise ValueError(f"columns not in the {source} layout: {unknown}")
+    return columns
+
+
+def _scans(spark: SparkSession, paths: Iterable[str], source: str, renames: Renames | None):
+    """One scan per distinct header, with its columns."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        header = tuple(spark.read.csv(path, header=True, multiLine=False, escape='"').columns)
+        try:
+            _columns(header, source, renames)
+        except ValueError as error:
+            raise ValueError(f"{path}: {error}") from None
+        by_header.setdefault(header, []).append(path)
+    for header, files in by_header.items():
+        schema = ", ".join(f"`{c}` string" for c in header)
+        rows = spark.read.schema(schema).csv(files, header=True, multiLine=False, escape='"', enforceSchema=False)
+        yield rows, _columns(header, source, renames)
+
+
+def load_files(
+    spark: SparkSession, paths: Iterable[str], source: str, renames: Renames | None = None
+) -> DataFrame:
+    """Delimited files mapped by column name onto the superset layout.
+
+    Files of one header share a scan. Columns a file lacks are NULL; ``renames``
+    maps columns the layout does not know, which are an error otherwise. Year and
+    quarter come from the file name.
+    """
     derived = {
-        "source_fiscal_year": F.regexp_extract(name, FISCAL, 1),
-        "source_quarter": F.regexp_extract(name, FISCAL, 2),
+        "source_fiscal_year": F.regexp_extract(F.col("_metadata.file_path"), FISCAL, 1),
+        "source_quarter": F.regexp_extract(F.col("_metadata.file_path"), FISCAL, 2),
     }
 
-    def column(c: str, dtype: str) -> Column:
+    def column(columns: Renames, c: str, dtype: str) -> Column:
         if c in derived:
-            text = F.nullif(derived[c], F.lit(""))
-        elif c in columns:
-            text = F.col(f"`{columns[c]}`")
-        else:
-            return F.lit(None).cast(dtype)
-        return _typed(text, dtype)
+            return _typed(F.nullif(derived[c], F.lit("")), dtype)
+        if c in columns:
+            return _typed(F.col(f"`{columns[c]}`"), dtype)
+        return F.lit(None).cast(dtype)
 
-    return raw.select(*[column(c, t).alias(c) for c, t in layout.items()])
+    return union_all(*[
+        rows.select(*[column(columns, c, t).alias(c) for c, t in LAYOUTS[source].items()])
+        for rows, columns in _scans(spark, paths, source, renames)
+    ])
 
 
-def load_files(
-    spark: SparkSession, paths: Iterable[str], source: str,
-    renames: Mapping[str, str] | None = None,
+def load_file(spark: SparkSession, path: str, source: str, renames: Renames | None = None) -> DataFrame:
+    return load_files(spark, [path], source, renames)
+
+
+def load_folder(
+    spark: SparkSession, folder: str, source: str, glob: str = "*.csv", renames: Renames | None = None
 ) -> DataFrame:
-    return union_all(*[load_file(spark, p, source, renames) for p in paths])
+    return load_files(spark, list_files(spark, folder, glob), source, renames)
 
 
-def load_folder(spark: SparkSession, folder: str, source: str, glob: str = "*.csv") -> DataFrame:
-    return load_files(spark, list_files(spark, folder, glob), source)
+def file_report(
+    spark: SparkSession, paths: Iterable[str], source: str, renames: Renames | None = None
+) -> DataFrame:
+    """(file, column, n_rows, n_unparsed) per file and typed column.
+
+    ``n_unparsed`` counts cells that hold something the column's type does not
+    read. ``n_rows`` is the file's rows, to be held against what was delivered.
+    """
+    reports = []
+    for rows, columns in _scans(spark, paths, source, renames):
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column"), (
+                (F.coalesce(F.trim(F.col(f"`{columns[c]}`")), F.lit("")) != "")
+                & _typed(F.col(f"`{columns[c]}`"), t).isNull()).alias("bad"))
+            for c, t in LAYOUTS[source].items() if c in columns and t != "string"
+        ] or [F.struct(F.lit("").alias("column"), F.lit(False).alias("bad"))])
+        each = rows.select(F.col("_metadata.file_path").alias("file"), F.inline(cells))
+        reports.append(each.groupBy("file", "column").agg(
+            F.count("*").alias("n_rows"), F.count_if("bad").alias("n_unparsed")))
+    return union_all(*reports)
+
+
+def parse_gate(report: DataFrame) -> DataFrame:
+    """The gate (name, value, ok) that no present cell was lost in parsing."""
+    return report.agg(F.coalesce(F.sum("n_unparsed"), F.lit(0)).alias("value")).select(
+        F.lit("unparsed_cells").alias("name"), "value", (F.col("value") == 0).alias("ok"))
 
 
 def filings_from_tables(lca: DataFrame, pwd: DataFrame, perm: DataFrame) -> RawFilings:

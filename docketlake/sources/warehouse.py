@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.operators.staging import RawFilings
-from docketlake.session import spread
 
 ID_ERA = "1999-01-01"  # filings before it carry no identifier column
 
@@ -168,9 +167,8 @@ def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def filings(spark: SparkSession, folder: str, before: str | None = None) -> RawFilings:
     """The three raw sources, lazily derived from the whole tables.
 
-    Lines, orders and customers grow with the data and always meet in a shuffle,
-    in which the adaptive skew rule may split a hot side; nations, parts and
-    suppliers are broadcast when they measure small and else shuffle too. ``before`` takes the state of an
+    No join is hinted: measured sizes decide what is broadcast, and the adaptive
+    skew rule may split a hot side of the others. ``before`` takes the state of an
     earlier publish: what was shipped or ordered before that date.
     """
     lines, ordered = table(spark, folder, "lineitem"), table(spark, folder, "orders")
@@ -185,15 +183,15 @@ def filings(spark: SparkSession, folder: str, before: str | None = None) -> RawF
         CUSTOMER,
     )
     def of_customers(orders: DataFrame) -> DataFrame:
-        joined = orders.hint("merge").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         return _select(joined, ORDER)
 
     parts = _select(table(spark, folder, "part"), PART)
     lca = (
-        lines.hint("merge")
+        lines
         .join(of_customers(ordered), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
     suppliers = table(spark, folder, "supplier")
-    perm = spread(lines).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    perm = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     return RawFilings(_select(lca, LCA), _select(of_customers(known), PWD), _select(perm, PERM))

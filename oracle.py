@@ -8,13 +8,10 @@ from __future__ import annotations
 
 import re
 
+from docketlake.functions.normalize import BUSINESS_ID_PREFIXES
+
 EARLIER = "2001-01-01"
 ERA = "1999-01-01"
-IDS = (
-    "01 02 03 04 05 06 10 11 12 13 14 15 16 20 21 22 23 24 25 26 27 30 31 32 33 34 35 36 37 38 "
-    "39 40 41 42 43 44 45 46 47 48 50 51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 71 "
-    "72 73 74 75 76 77 80 81 82 83 84 85 86 87 88 90 91 92 93 94 95 98 99"
-).split()
 # The white space of the search rules, in the pattern syntax of RE2.
 SPACE = (
     r"[ \t\n\x0b\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -31,9 +28,12 @@ def level(x):
     return f"CASE WHEN upper(trim({x})) IN ('I','II','III','IV') THEN upper(trim({x})) END"
 def ein(x):
     d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
-    ids = ", ".join(f"'{i}'" for i in IDS)
+    ids = ", ".join(f"'{i}'" for i in BUSINESS_ID_PREFIXES)
     return f"CASE WHEN length({d}) = 9 AND substr({d}, 1, 2) IN ({ids}) THEN {d} END"
-def name(x): return f"nullif(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), '')"
+NAME_SPACE = (
+    r"[ \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+def name(x): return f"nullif(trim(regexp_replace(lower({x}), '{NAME_SPACE}+', ' ', 'g')), '')"
 def zip5(x): return f"nullif(regexp_extract({x}, '^[0-9]{{5}}'), '')"
 def squash(x):
     return (f"regexp_replace(trim(regexp_replace(lower(coalesce({x}, '')), '{SPACE}+', ' ', 'g')), "
@@ -288,7 +288,7 @@ def _more() -> dict[str, str]:
             SELECT *, {squash('title')} AS nm, row_number() OVER (ORDER BY key, n_filings DESC, soc_code, title) AS ord
             FROM titles) GROUP BY nm, soc_code""",
         **index("SELECT * FROM entries", "n_filings DESC, name, key", "key, ein, name, n_filings", "s", 50),
-        **index("SELECT * FROM corpus", "n DESC, soc_code, title", "title, soc_code, n", "t", 10),
+        **index("SELECT * FROM corpus", "n DESC, soc_code, title", "title, soc_code, n", "t", 50),
     }
 
 
@@ -418,6 +418,8 @@ TABLES.update({
         LATERAL (SELECT unnest(tries) AS try, generate_subscripts(tries, 1) AS n)""",
     "term_hits": """SELECT prefix, arg_min(try, n) AS hit FROM ranked_terms
         WHERE try IN (SELECT prefix FROM s_docs) GROUP BY prefix""",
+    "title_term_hits": """SELECT prefix, arg_min(try, n) AS hit FROM ranked_terms
+        WHERE try IN (SELECT prefix FROM t_docs) GROUP BY prefix""",
     "new_man": "SELECT key, sha256(body) AS sha, strlen(body) AS n_bytes FROM title_docs",
     "old_man": "SELECT key, sha256(body) AS sha, strlen(body) AS n_bytes FROM title_docs_old",
     "diff": """SELECT coalesce(n.key, o.key) AS key, o.sha AS old_sha, n.sha AS new_sha, n.n_bytes,
@@ -432,7 +434,7 @@ TABLES.update({
             "wage_benchmarks": "bench"}.items()),
     "calls": """SELECT caller, tier, lim, win, event_id, ms, give, row_number() OVER (PARTITION BY caller, tier
         ORDER BY ms, event_id) AS rn, min(ms) OVER (PARTITION BY caller, tier) AS first_ms FROM (
-        SELECT event_id, substr(CAST(user_id AS VARCHAR), 1, 1) AS caller, epoch_us(ts) // 1000 AS ms,
+        SELECT event_id, CAST(user_id AS VARCHAR) AS caller, epoch_us(ts) // 1000 AS ms,
           event_type = 'error' AS give,
           CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'mint' ELSE 'lookup' END AS tier,
           CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 2 ELSE 120 END AS lim,
@@ -576,6 +578,17 @@ FINALS = {
     "search_lookup": """SELECT q, a.prefix, hit, CAST(CASE WHEN a.prefix IS NULL THEN 400 WHEN hit IS NULL THEN 404
         ELSE 200 END AS INTEGER) AS status, body FROM asked_terms a LEFT JOIN term_hits h ON a.prefix = h.prefix
         LEFT JOIN s_docs d ON d.prefix = hit""",
+    "title_search_lookup": """SELECT q, a.prefix, hit, CAST(CASE WHEN a.prefix IS NULL THEN 400 WHEN hit IS NULL THEN 404
+        ELSE 200 END AS INTEGER) AS status, body FROM asked_terms a LEFT JOIN title_term_hits h ON a.prefix = h.prefix
+        LEFT JOIN t_docs d ON d.prefix = hit""",
+    "jobs_lookup": f"""SELECT id, doc_key, CAST(CASE WHEN doc_key IS NULL THEN 400 WHEN body IS NULL THEN 404 ELSE 200 END
+        AS INTEGER) AS status, length(body) AS n_chars FROM (SELECT id, 'e/' || parsed || '/jobs.json' AS doc_key FROM (
+          SELECT DISTINCT employer_fein AS id, {_key('employer_fein')} AS parsed FROM lca_raw
+          WHERE employer_fein IS NOT NULL)) LEFT JOIN jobs_docs d ON d.key = doc_key""",
+    "sql_functions": f"""SELECT soc, level, CAST(secondary AS VARCHAR) AS secondary, ein, nm,
+        coalesce(ein, 'n-' || substr(md5(nm), 1, 16)) AS key, count(*) AS n FROM (SELECT {soc('soc_code')} AS soc,
+          {level('pw_wage_level')} AS level, {flag('secondary_entity')} AS secondary, {ein('employer_fein')} AS ein,
+          {name('employer_name')} AS nm FROM lca_raw) GROUP BY ALL""",
     "point_lookup": f"""SELECT id, doc_key, CAST(CASE WHEN doc_key IS NULL THEN 400 WHEN body IS NULL THEN 404 ELSE 200 END
         AS INTEGER) AS status, length(body) AS n_chars FROM (SELECT id, 'e/' || parsed || '/titles.json' AS doc_key FROM (
           SELECT DISTINCT employer_fein AS id, {_key('employer_fein')} AS parsed FROM lca_raw
@@ -597,6 +610,10 @@ FINALS = {
         count(*) FILTER (WHERE action = 'delete') AS deleted FROM acted""",
     "meta_document": f"""SELECT 'meta.json' AS key, '{{"ok":true,"rows":' || (SELECT {obj('"table"', 'n')} FROM row_counts)
         || ',"built_at":"2026-01-01T00:00:00+00:00","objects":' || (SELECT count(*) + 1 FROM new_man) || '}}' AS body""",
+    "meta_lookup": f"""SELECT r_name AS caller, 'meta.json' AS doc_key, CAST(200 AS INTEGER) AS status,
+        '{{"ok":true,"rows":' || (SELECT {obj('"table"', 'n')} FROM row_counts)
+        || ',"built_at":"2026-01-01T00:00:00+00:00","objects":' || (SELECT count(*) + 1 FROM new_man) || '}}' AS body
+        FROM region""",
     "gates": f"""SELECT name, value, CASE rule WHEN 'true' THEN true WHEN 'value >= 1' THEN value >= 1 ELSE value = 0 END
         AS ok FROM ({_GATES})""",
     "top_entities": """SELECT p.key, CAST(n_lca AS BIGINT) AS profile_n, raw_n, n_lca = raw_n AS ok FROM (

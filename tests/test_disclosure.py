@@ -1,12 +1,13 @@
 """Hand-made filings, from drifting files through rebuild, gates and documents."""
 
+import datetime
 import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.operators import gates, identity, publish
+from docketlake.operators import gates, identity, lookup, publish
 from docketlake.plans import documents
 from docketlake.plans.rebuild import rebuild
 from docketlake.schema import LAYOUTS, PERSONAL_PREFIXES, READABLE
@@ -220,16 +221,73 @@ def test_store_documents_and_publish(spark, filed, tmp_path):
     assert publish.publish_report(again, meta).first()["uploaded"] == 1
 
 
-def test_large_documents_come_in_pages(spark, filed):
-    rows = spark.range(100).select(
-        F.lit("k").alias("key"), (F.col("id") % 5 + 2020).cast("short").alias("year"),
-        F.lit("15-1252").alias("soc_code"), F.lit("II").alias("level"),
-        *[F.lit(1).cast("decimal(12,2)").alias(c) for c in ("avg_wage", "min_wage", "max_wage", "avg_prev_wage")],
-        F.lit("CA").alias("state"), F.lit(None).cast("string").alias("county"),
-        F.col("id").cast("string").alias("zip"), F.lit(1).alias("n_filings"))
-    pages = {r["key"]: json.loads(r["body"])["jobs"] for r in documents.jobs_documents(rows, 40).collect()}
-    assert {k: len(v) for k, v in pages.items()} == {
-        "e/k/jobs.json": 40, "e/k/jobs.2.json": 40, "e/k/jobs.3.json": 20}
-    whole = documents.jobs_documents(rows).collect()
-    assert len(whole) == 1 and json.loads(whole[0]["body"])["jobs"] == sum(
-        (pages[k] for k in ("e/k/jobs.json", "e/k/jobs.2.json", "e/k/jobs.3.json")), [])
+def test_one_document_per_key_at_any_size(spark):
+    rows = spark.range(3000).select(
+        F.lit("k").alias("key"), F.lit("15-1252").alias("soc_code"), F.concat(F.lit("t"), F.col("id")).alias("title"),
+        F.lit(1).alias("n_filings"), F.create_map(F.lit("II"), F.lit(1).cast("long")).alias("level_mix"),
+        *[F.lit(1).cast("decimal(12,2)").alias(c) for c in ("avg_wage", "min_wage", "max_wage")])
+    doc = documents.titles_documents(rows).collect()
+    assert [r["key"] for r in doc] == ["e/k/titles.json"]
+    titles = json.loads(doc[0]["body"])["titles"]
+    assert [t["title"] for t in titles] == sorted(f"t{i}" for i in range(3000))
+    assert titles[0]["level_mix"] == {"II": 1}
+
+
+def test_spreadsheet_cells_parse_or_are_reported(spark, tmp_path):
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    head = "case_status,employer_name,received_date,decision_date,new_employment\n"
+    (folder / "LCA_FY2021_Q1.csv").write_text(
+        head + "Certified,A,2020-01-15 00:00:00,15-Jan-20,1.0\nCertified,B,1/15/2020,1/15/2020 0:00,\"1,000\"\n")
+    (folder / "LCA_FY2021_Q2.csv").write_text(head + "Certified,C,soon,,many\n")
+    paths = loader.list_files(spark, str(folder))
+    rows = {r["employer_name"]: r for r in loader.load_files(spark, paths, "lca").collect()}
+    day = datetime.date(2020, 1, 15)
+    assert [(rows[n]["received_date"], rows[n]["decision_date"], rows[n]["new_employment"]) for n in "ABC"] == [
+        (day, day, 1), (day, day, 1000), (None, None, None)]
+    report = loader.file_report(spark, paths, "lca")
+    lost = {(r["file"][-6:], r["column"]): r["n_unparsed"] for r in report.filter("n_unparsed > 0").collect()}
+    assert lost == {("Q2.csv", "received_date"): 1, ("Q2.csv", "new_employment"): 1}
+    assert {r["n_rows"] for r in report.filter("file like '%Q1.csv'").collect()} == {2}
+    assert tuple(loader.parse_gate(report).first()) == ("unparsed_cells", 2, False)
+
+
+def test_a_build_that_stops_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "served")
+    ids = spark.range(2).withColumnRenamed("id", "key")
+    names = store.ServingTables.__dataclass_fields__
+    store.write_tables(store.ServingTables(**{n: ids for n in names}), root, "1")
+    broken = store.ServingTables(**{
+        n: ids if n != "wage_benchmarks" else ids.select(F.raise_error(F.lit("stopped")).alias("key")) for n in names})
+    with pytest.raises(Exception, match="stopped"):
+        store.write_tables(broken, root, "2")
+    assert store.current_version(spark, root) == "1" and store.read_tables(spark, root).jobs.count() == 2
+    with pytest.raises(ValueError):
+        store.write_tables(store.ServingTables(**{n: ids for n in names}), root, "1")
+    store.write_tables(store.ServingTables(**{n: ids.limit(1) for n in names}), root, "2")
+    assert store.current_version(spark, root) == "2" and store.read_tables(spark, root).jobs.count() == 1
+
+
+def test_manifest_versions(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    one = spark.createDataFrame([("a", "1")], store.MANIFEST_SCHEMA)
+    with pytest.raises(ValueError):
+        store.write_manifest(one, path, publish.PublishOptions(limit=1))
+    assert store.read_manifest(spark, path) is None
+    store.write_manifest(one, path)
+    old = store.read_manifest(spark, path)
+    store.write_manifest(old.union(spark.createDataFrame([("b", "2")], store.MANIFEST_SCHEMA)), path)
+    assert sorted(map(tuple, store.read_manifest(spark, path).collect())) == [("a", "1"), ("b", "2")]
+    assert old.count() == 1  # the version a plan may still read
+
+
+def test_lookups_move_no_bodies(spark, tmp_path):
+    spark.range(2000).select(
+        F.lit("profile").alias("family"), F.format_string("e/%09d.json", "id").alias("key"),
+        F.lit("{}").alias("body")).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = spark.createDataFrame([(1, "000000007"), (2, "bad"), (3, "999999999")], "request_id int, id string")
+    answer = lookup.lookup_entity(docs, asked)
+    assert {r["request_id"]: r["status"] for r in answer.collect()} == {1: 200, 2: 400, 3: 404}
+    plan = answer._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
