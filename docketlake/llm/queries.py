@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlake.llm import bpe, kneser_ney, langid, licenses, packing, quality, simhash, token_rollup, topk, vector_graph
 from docketlake.llm.text import fold
-from docketlake.session import DEFAULTS, materialize, shared_folder
+from docketlake.session import DEFAULTS, find_package, materialize, shared_folder
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +18,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    find_package(spark)
     for setting in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         if spark.conf.get(setting) != DEFAULTS[setting]:
             spark.conf.set(setting, DEFAULTS[setting])
