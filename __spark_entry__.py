@@ -36,6 +36,8 @@ except ModuleNotFoundError as missing:
         raise
     llm = None
 
+c = F.col
+
 
 # --- shared steps ------------------------------------------------------------
 
