@@ -171,22 +171,28 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     frequency, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     sample = sampled(rows, "lang", per_language, "langid", LANGUAGES)
-    table = sample.select("lang", counted("text").alias("x")).select("lang", "x.*").toArrow().to_pylist()
-    table = [r for r in table if r["ids"]]
-    languages = sorted({r["lang"] for r in table})
+    table = sample.select("lang", counted("text").alias("x")).select("lang", "x.*").toArrow().combine_chunks()
+    names = table["lang"].to_pylist()
+    ids, counts = (table[c].combine_chunks() for c in ("ids", "n"))
+    ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+    ids, counts = ids.flatten().to_numpy(), counts.flatten().to_numpy()
+    used = np.flatnonzero(np.diff(ends, prepend=0))  # texts with letters
+    languages = sorted({names[k] for k in used})
     if not languages:
         return Model([], np.zeros((NO_NGRAM + 1, 0), np.float32), 1.0)
-    leader, held = Leader(1 << BITS, len(languages)), []
-    examples = []
-    for k, r in enumerate(table):
-        ids, counts = np.array(r["ids"]), np.array(r["n"], float)
-        example = ids, SCALE * counts / counts.sum() * idf[ids], languages.index(r["lang"])
-        (held if k % 5 == 4 else examples).append(example)
+
+    def example(k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        part = slice(ends[k - 1] if k else 0, ends[k])
+        n = counts[part]
+        return ids[part], SCALE * n / n.sum() * idf[ids[part]], languages.index(names[k])
+
+    leader, held, taught = Leader(1 << BITS, len(languages)), used[4::5], np.delete(used, np.s_[4::5])
     for _ in range(PASSES):
-        for example in examples:
-            leader.learn(*example)
+        for k in taught:
+            leader.learn(*example(k))
     weights = leader.weights()
-    warm = temperature(np.array([v @ weights[i] for i, v, _ in held]), np.array([y for *_, y in held])) if held else 1.0
+    judged = [(values @ weights[at], label) for at, values, label in map(example, held)]
+    warm = temperature(*map(np.array, zip(*judged))) if judged else 1.0
     weights = np.append(weights * idf[:, None] * SCALE / warm, np.zeros((1, len(languages))), 0)
     return Model(languages, weights.astype(np.float32), warm)
 

@@ -34,7 +34,7 @@ BITS = 18
 #: A text is selected if its best grade is at least so likely.
 LEAST = 0.4
 #: Bound of the sample that the weights are learned from, and most grades.
-PER_GRADE, GRADES = 3000, 8
+PER_GRADE, GRADES = 2000, 8
 #: Statistic that a feature must reach, penalty, and rounds and memory of the descent.
 LEAST_TEST, L2, ROUNDS, MEMORY = 80.0, 1e-4, 150, 10
 
@@ -137,12 +137,12 @@ def descend(loss: Callable, x: np.ndarray) -> np.ndarray:
 
 def learn(ids: np.ndarray, x: np.ndarray, ends: np.ndarray, grade: np.ndarray, share: np.ndarray) -> Model:
     """Fit the cumulative-link log loss; ``share`` is each grade's share of all rated rows."""
-    top, owner = int(grade.max()), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    top, owner = int(grade.max()), np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
     used = telling(ids, owner, grade)
     column = np.full(1 << BITS, -1)
     column[used] = np.arange(len(used))
     known = column[ids] >= 0
-    col, x, owner, size, at = column[ids[known]], x[known], owner[known], len(used), np.arange(len(ends))
+    col, x, owner, size, at = column[ids[known]], x[known].astype(float), owner[known], len(used), np.arange(len(ends))
     weight = (share / np.maximum(np.bincount(grade, minlength=len(share)), 1))[grade]
     weight /= weight.sum()
 
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Mode
     ids, x = (pc.struct_field(table["x"].combine_chunks(), name) for name in ("ids", "x"))
     ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
     share = np.array([counts.get(k, 0) for k in range(int(grade.max()) + 1)], float)
-    return learn(ids.flatten().to_numpy().astype(np.int64), x.flatten().to_numpy().astype(float), ends, grade, share)
+    return learn(ids.flatten().to_numpy(), x.flatten().to_numpy(), ends, grade, share)
 
 
 def predict(model: Model, text: str | Column, spark) -> Column:
