@@ -92,8 +92,8 @@ def employer_profile(employers: DataFrame, lca: DataFrame, gc: DataFrame) -> Dat
     lca_side, gc_side = F.col("l"), F.col("g")
     total, gc_total = lca_side["totals"], gc_side["totals"]
 
-    def count(side: Column, field: str, as_type: str = "int") -> Column:
-        return F.coalesce(side[field], F.lit(0)).cast(as_type)
+    def count(side: Column, field: str) -> Column:
+        return F.coalesce(side[field], F.lit(0)).cast("long")
 
     n_pwd, n_perm = count(gc_total, "pwd"), count(gc_total, "perm")
     return sides.select(
@@ -105,9 +105,9 @@ def employer_profile(employers: DataFrame, lca: DataFrame, gc: DataFrame) -> Dat
         count(total, "certified_withdrawn").alias("n_certified_withdrawn"),
         count(total, "denied").alias("n_denied"),
         count(total, "withdrawn").alias("n_withdrawn"),
-        count(total, "new", "long").alias("n_new"),
-        count(total, "transfer", "long").alias("n_transfer"),
-        count(total, "continued", "long").alias("n_continued"),
+        count(total, "new").alias("n_new"),
+        count(total, "transfer").alias("n_transfer"),
+        count(total, "continued").alias("n_continued"),
         n_pwd.alias("n_pwd"),
         n_perm.alias("n_perm"),
         ((n_pwd + n_perm) > 0).alias("does_gc"),

@@ -49,7 +49,7 @@ def jobs(lca: DataFrame) -> DataFrame:
             F.min("wage_from").cast(WAGE).alias("min_wage"),
             F.max("wage_to").cast(WAGE).alias("max_wage"),
             exact_mean(F.sum("pw"), F.count("pw"), 2).cast(WAGE).alias("avg_prev_wage"),
-            F.count("*").cast("int").alias("n_filings"),
+            F.count("*").alias("n_filings"),
         )
         .withColumnRenamed("soc", "soc_code")
     )
@@ -59,8 +59,8 @@ def gc_filings(gc_coded: DataFrame) -> DataFrame:
     return (
         gc_coded.groupBy("key", "year", F.col("typ").alias("type"), F.col("soc").alias("soc_code"))
         .agg(
-            F.count("*").cast("int").alias("n"),
-            count_where(F.col("approved")).cast("int").alias("n_approved"),
+            F.count("*").alias("n"),
+            count_where(F.col("approved")).alias("n_approved"),
         )
     )
 
@@ -76,7 +76,7 @@ def job_titles(lca: DataFrame) -> DataFrame:
         lca.filter(F.col("soc").isNotNull() & F.col("title").isNotNull())
         .groupBy("key", F.col("soc").alias("soc_code"), "title")
         .agg(
-            F.count("*").cast("int").alias("n_filings"),
+            F.count("*").alias("n_filings"),
             exact_mean(F.sum("wage_mid"), F.count("wage_mid"), 2).cast(WAGE).alias("avg_wage"),
             F.min("wage_from").cast(WAGE).alias("min_wage"),
             F.max("wage_to").cast(WAGE).alias("max_wage"),
@@ -164,13 +164,13 @@ def tiered_benchmarks(
 
     pairs = rows.select(*fixed, *tiers, entity).distinct()
     entities = _tiered(
-        pairs, fixed, tiers, [], [F.countDistinct(entity).cast("int").alias("employer_count")]
+        pairs, fixed, tiers, [], [F.countDistinct(entity).alias("employer_count")]
     )
 
     keys = [*fixed, *tiers, "depth"]
     return join_null_safe(stats, entities, keys).select(
         *keys,
-        F.col("n").cast("int").alias("n_filings"),
+        F.col("n").alias("n_filings"),
         "employer_count",
         *[F.col(p).cast(WAGE).alias(p) for p in ("p25", "p50", "p75")],
         exact_mean(F.col("_total"), F.col("n"), 2).cast(WAGE).alias("mean"),

@@ -6,9 +6,11 @@ lockout change nothing. A give returns one token and lifts a lockout.
 
 The rule is sequential per caller, so the batch job separates what is: events
 are first counted into one short row per caller and second, spread by both, and
-only those rows are walked in order, with three numbers of state. A busy caller
-therefore costs one small row per second it is active, however many requests it
-makes, and every single verdict is derived in parallel afterwards.
+only those rows are walked in order, with three numbers of state. A take after a
+window without any call finds a full bucket and no lockout, so a caller's rows are
+cut there and the pieces walked apart. A busy caller therefore costs one small row
+per second it is active, however many requests it makes, and every single verdict
+is derived in parallel afterwards, each event taking the last change before it.
 """
 
 from __future__ import annotations
@@ -109,10 +111,10 @@ def _walk(tiers: Tiers):
         who, state = None, None
         for batch in batches:
             out = []
-            for caller, tier, slot, ms, seq, takes, gives in batch.itertuples(index=False):
+            for caller, tier, piece, slot, ms, seq, takes, gives in batch.itertuples(index=False):
                 limit, window = limits[tier]
-                if who != (caller, tier):
-                    who, state = (caller, tier), [float(limit), int(ms[0]), 0]
+                if who != (caller, tier, piece):
+                    who, state = (caller, tier, piece), [float(limit), int(ms[0]), 0]
                 # The state the slot starts with answers takes inside a lockout.
                 records = [(-1, 0, None, state[0], 0, state[0], state[2])]
                 if state[2] <= ms[-1] or any(gives):
@@ -164,29 +166,31 @@ def throttle_verdicts(events: DataFrame, tiers: Tiers = TIERS) -> DataFrame:
     slots = arrivals.groupBy(*CALLER, "slot").agg(
         F.array_sort(F.collect_list(F.struct("ms", "seq", capped.alias("takes"), "gives")))
         .alias("a")
-    ).select(*CALLER, "slot", *[
+    )
+    inorder = Window.partitionBy(*CALLER).orderBy("slot")
+    first, last = F.element_at("a", 1), F.element_at("a", -1)
+    idle = first["ms"] - F.lag(last["ms"]).over(inorder) >= _tier_column(c("tier"), tiers, 1)
+    slots = slots.withColumn("fresh", (idle & ~first["gives"]).cast("long"))
+    slots = slots.withColumn("piece", F.sum(F.coalesce("fresh", F.lit(0))).over(
+        inorder.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    slots = slots.select(*CALLER, "piece", "slot", *[
         c("a").getField(f).alias(f) for f in ("ms", "seq", "takes", "gives")
     ])
     walked = (
-        slots.repartition(*CALLER).sortWithinPartitions(*CALLER, "slot")
+        slots.repartition(*CALLER, "piece").sortWithinPartitions(*CALLER, "piece", "slot")
         .mapInPandas(_walk(tiers), _WALK_SCHEMA)
     )
 
     fields = ("ms", "seq", "given", "before", "served", "tokens", "locked")
     records = walked.select(
         *CALLER, "slot",
-        F.arrays_zip(*[c(f"r_{f}").alias(f) for f in fields]).alias("records"),
-    )
-    joined = placed.join(records, [*CALLER, "slot"]).withColumn(
-        "r",
-        F.element_at(
-            F.filter(
-                "records",
-                lambda r: (r["ms"] < c("ms")) | ((r["ms"] == c("ms")) & (r["seq"] <= c("seq"))),
-            ),
-            -1,
-        ),
-    )
+        F.explode(F.arrays_zip(*[c(f"r_{f}").alias(f) for f in fields])).alias("r"),
+    ).select(*CALLER, "slot", c("r.ms").alias("ms"), c("r.seq").alias("seq"), "r")
+    # A change stands before the events of its instant, and each event sees the last one.
+    upto = Window.partitionBy(*CALLER, "slot").orderBy("ms", "seq", c("event").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    joined = placed.withColumn("event", F.lit(True)).unionByName(records, allowMissingColumns=True).withColumn(
+        "r", F.last("r", ignorenulls=True).over(upto)).filter("event")
     r = {f: c("r")[f] for f in fields}
     own = (r["ms"] == c("ms")) & (r["seq"] == c("seq"))
     served = own & (c("turn") <= r["served"])

@@ -174,9 +174,9 @@ def _shared(s: str, before: str | None) -> dict[str, str]:
         f"jobs{s}": f"""SELECT key, CAST(year AS SMALLINT) AS year, soc AS soc_code, level, state, county, zip,
             {cents(sum5('wage_mid'), 'count(wage_mid)')} AS avg_wage,
             {dbl('min(wage_from)')} AS min_wage, {dbl('CAST(round(max(wage_to), 2) AS DECIMAL(12,2))')} AS max_wage,
-            {cents(sum5('pw'), 'count(pw)')} AS avg_prev_wage, CAST(count(*) AS INTEGER) AS n_filings
+            {cents(sum5('pw'), 'count(pw)')} AS avg_prev_wage, CAST(count(*) AS BIGINT) AS n_filings
             FROM annual{s} GROUP BY key, year, soc, level, state, county, zip""",
-        f"titles{s}": f"""SELECT key, soc AS soc_code, title, CAST(count(*) AS INTEGER) AS n_filings,
+        f"titles{s}": f"""SELECT key, soc AS soc_code, title, CAST(count(*) AS BIGINT) AS n_filings,
             {cents(sum5('wage_mid'), 'count(wage_mid)')} AS avg_wage,
             {dbl('min(wage_from)')} AS min_wage, {dbl('CAST(round(max(wage_to), 2) AS DECIMAL(12,2))')} AS max_wage
             FROM lca_n{s} WHERE soc IS NOT NULL AND title IS NOT NULL GROUP BY key, soc, title""",
@@ -228,7 +228,7 @@ def _more() -> dict[str, str]:
             CASE WHEN gz = 0 THEN 'zip' WHEN gs = 0 THEN 'state' ELSE 'national' END AS scope,
             CASE WHEN gs = 0 THEN state END AS state, CASE WHEN gz = 0 THEN zip END AS zip, {tail} FROM (
             SELECT soc, level, year, state, zip, grouping(state) AS gs, grouping(zip) AS gz,
-              CAST(count(*) AS INTEGER) AS n_filings, CAST(count(DISTINCT key) AS INTEGER) AS employer_count,
+              CAST(count(*) AS BIGINT) AS n_filings, CAST(count(DISTINCT key) AS BIGINT) AS employer_count,
               {pct(0.25)} AS p25, {pct(0.5)} AS p50, {pct(0.75)} AS p75,
               {cents(sum5('wage_mid'), 'count(*)')} AS mean, {dbl('min(wage_from)')} AS min_wage,
               {dbl('CAST(round(max(wage_to), 2) AS DECIMAL(12,2))')} AS max_wage
@@ -237,7 +237,7 @@ def _more() -> dict[str, str]:
           WHERE (gz = 0 AND zip IS NOT NULL AND n_filings >= 5) OR (gz = 1 AND gs = 0 AND state IS NOT NULL)
              OR (gz = 1 AND gs = 1)""",
         "gc": """SELECT key, CAST(year AS SMALLINT) AS year, typ AS type, soc AS soc_code,
-            CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE approved) AS INTEGER) AS n_approved
+            CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE approved) AS BIGINT) AS n_approved
             FROM gc_n WHERE soc IS NOT NULL GROUP BY key, year, typ, soc""",
         "agg": f"""SELECT key, min(year) AS fy, max(year) AS ly, count(*) AS n_lca, {year_totals},
             sum(new_emp) AS n_new, sum(chg_emp) AS n_transfer, sum(cont_emp) AS n_continued,
@@ -268,13 +268,13 @@ def _more() -> dict[str, str]:
             count(*) FILTER (WHERE typ = 'PWD') || ',"perm":' || count(*) FILTER (WHERE typ = 'PERM') || '}}' AS o
             FROM gc_n WHERE soc IS NOT NULL GROUP BY key, soc) GROUP BY key""",
         "profile": """SELECT e.key, CAST(least(fy, gfy) AS SMALLINT) AS first_year,
-            CAST(greatest(ly, gly) AS SMALLINT) AS last_year, CAST(coalesce(n_lca, 0) AS INTEGER) AS n_lca,
-            CAST(coalesce(certified, 0) AS INTEGER) AS n_certified,
-            CAST(coalesce(certified_withdrawn, 0) AS INTEGER) AS n_certified_withdrawn,
-            CAST(coalesce(denied, 0) AS INTEGER) AS n_denied, CAST(coalesce(withdrawn, 0) AS INTEGER) AS n_withdrawn,
+            CAST(greatest(ly, gly) AS SMALLINT) AS last_year, CAST(coalesce(n_lca, 0) AS BIGINT) AS n_lca,
+            CAST(coalesce(certified, 0) AS BIGINT) AS n_certified,
+            CAST(coalesce(certified_withdrawn, 0) AS BIGINT) AS n_certified_withdrawn,
+            CAST(coalesce(denied, 0) AS BIGINT) AS n_denied, CAST(coalesce(withdrawn, 0) AS BIGINT) AS n_withdrawn,
             CAST(coalesce(n_new, 0) AS BIGINT) AS n_new, CAST(coalesce(n_transfer, 0) AS BIGINT) AS n_transfer,
-            CAST(coalesce(n_continued, 0) AS BIGINT) AS n_continued, CAST(coalesce(n_pwd, 0) AS INTEGER) AS n_pwd,
-            CAST(coalesce(n_perm, 0) AS INTEGER) AS n_perm, coalesce(n_pwd, 0) + coalesce(n_perm, 0) > 0 AS does_gc,
+            CAST(coalesce(n_continued, 0) AS BIGINT) AS n_continued, CAST(coalesce(n_pwd, 0) AS BIGINT) AS n_pwd,
+            CAST(coalesce(n_perm, 0) AS BIGINT) AS n_perm, coalesce(n_pwd, 0) + coalesce(n_perm, 0) > 0 AS does_gc,
             wage_vs_pw FROM employers e LEFT JOIN agg USING (key) LEFT JOIN gctot USING (key)""",
         "flags": f"""SELECT key, coalesce(n_secondary / n_lca > 0.5, false) AS staffing_shop,
             coalesce({share('n_secondary', 'n_lca', 3)}, 0) AS staffing_share,
@@ -515,8 +515,8 @@ FINALS = {
     "order_price_benchmarks": f"""SELECT * EXCLUDE (gr, gn) REPLACE (CASE WHEN gr = 0 THEN region END AS region) FROM (
         SELECT o_orderpriority AS priority, CAST(year(o_orderdate) AS INTEGER) AS year, r_name AS region, n_name AS nation,
           grouping(r_name) AS gr, grouping(n_name) AS gn,
-          CAST(2 - grouping(r_name) - grouping(n_name) AS INTEGER) AS depth, CAST(count(*) AS INTEGER) AS n_filings,
-          CAST(count(DISTINCT o_custkey) AS INTEGER) AS employer_count, {', '.join(_PRICE.values())},
+          CAST(2 - grouping(r_name) - grouping(n_name) AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n_filings,
+          CAST(count(DISTINCT o_custkey) AS BIGINT) AS employer_count, {', '.join(_PRICE.values())},
           {cents('sum(CAST(CAST(o_totalprice AS DECIMAL(18,5)) * 100000 AS HUGEINT))', 'count(*)')} AS mean,
           min(o_totalprice) AS min_wage, max(o_totalprice) AS max_wage
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey

@@ -117,3 +117,17 @@ def test_stream_equals_batch(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert verdicts(spark.table("verdicts")) == restated(rows)
+
+
+def test_pieces_after_idle_windows(spark):
+    """Calls and gives after gaps of just below, at and above a window."""
+    rng, rows, clock = random.Random(8), [], 0
+    for i in range(400):
+        clock += rng.choice([0, 0, 1, 500, HOUR_MS - 1, HOUR_MS, HOUR_MS + 1, DAY_MS])
+        rows.append((i, "one", rng.choice(["anon", "mint"]), clock, "give" if rng.random() < 0.3 else "take"))
+    assert verdicts(throttle_verdicts(events(spark, rows))) == restated(rows)
+
+
+def test_a_crowded_second(spark):
+    rows = [(i, "hot", "lookup", i % 1000, "give" if i % 5 == 0 else "take") for i in range(20_000)]
+    assert verdicts(throttle_verdicts(events(spark, rows))) == restated(rows)
