@@ -47,7 +47,7 @@ def fold_table() -> np.ndarray:
 def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: a row of buckets for each position of the folded texts (``NO_NGRAM`` where
     an n-gram would leave its text), each text's end in the rows, and its letters."""
-    for part in slices(texts, 2 << 20):
+    for part in slices(texts, 1 << 20):
         rows = part.to_pylist()
         codes = np.frombuffer("".join([f" {t} " for t in rows]).encode("utf-32-le"), np.uint32)
         code = fold_table()[codes]

@@ -12,6 +12,10 @@ from docketlake.llm.text import fold
 from docketlake.session import DEFAULTS, find_package, materialize, shared_folder
 
 
+#: Rows that a Python worker gets at a time; documents are some kilobytes, and some far more.
+ARROW_ROWS = 2000
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -22,6 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for setting in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         if spark.conf.get(setting) != DEFAULTS[setting]:
             spark.conf.set(setting, DEFAULTS[setting])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

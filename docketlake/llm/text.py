@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside a task. A longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def fold(key: str, folds: int) -> Column:
@@ -32,6 +32,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
