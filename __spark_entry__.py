@@ -376,7 +376,7 @@ def title_search_lookup(spark, sf):
 
 def meta_lookup(spark, sf):
     docs = documents.meta_document(
-        documents.table_counts(_tables(spark, sf)), _title_docs(spark, sf), "2026-01-01T00:00:00+00:00")
+        documents.table_counts(_tables(spark, sf)), _all_docs(spark, sf), "2026-01-01T00:00:00+00:00")
     asked = table(_ready(spark), sf, "region").select(c("r_name").alias("caller"))
     return lookup.lookup_meta(docs, asked).select("caller", "doc_key", "status", "body")
 
@@ -424,26 +424,38 @@ def wage_lookup(spark, sf):
 
 @lru_cache(maxsize=8)
 def _rendered(app: str, spark: SparkSession, sf: str, before: str | None) -> DataFrame:
-    titles = materialize(_build(spark, sf, before).tables.job_titles, "job-titles")
-    return materialize(documents.seal(documents.titles_documents(titles)), "title-documents")
+    tables = _build(spark, sf, before).tables
+    titles, jobs = materialize(tables.job_titles, "job-titles"), materialize(tables.jobs, "jobs")
+    docs = identity.union_all(documents.titles_documents(titles), documents.jobs_documents(jobs))
+    return materialize(documents.seal(docs), "entity-documents")
 
 
-def _title_docs(spark, sf, before=None):
-    """Rendered titles documents, stored once as a publisher has them."""
+def _entity_docs(spark, sf, before=None):
+    """Rendered titles and jobs documents, stored once as a publisher has them."""
     docs = _rendered(_ready(spark).sparkContext.applicationId, spark, sf, before)
     return docs.select("key", "sha256", "n_bytes")
 
 
+@lru_cache(maxsize=8)
+def _everything(app: str, spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(documents.all_documents(_tables(spark, sf), cut=materialize), "all-documents")
+
+
+def _all_docs(spark, sf):
+    """The documents of every family but meta, stored once."""
+    return _everything(_ready(spark).sparkContext.applicationId, spark, sf)
+
+
 def _plan(spark, sf, **kw):
-    """The titles documents against those of an earlier state of the data."""
-    old = _title_docs(spark, sf, oracle.EARLIER).select("key", "sha256")
-    return publish.plan_publish(_title_docs(spark, sf), old, **kw)
+    """The titles and jobs documents against those of an earlier state of the data."""
+    old = _entity_docs(spark, sf, oracle.EARLIER).select("key", "sha256")
+    return publish.plan_publish(_entity_docs(spark, sf), old, **kw)
 
 
 def _feedback(spark, sf):
     """Outcome of an upload in which the large documents and some deletions failed."""
-    docs = _title_docs(spark, sf)
-    old = _title_docs(spark, sf, oracle.EARLIER)
+    docs = _entity_docs(spark, sf)
+    old = _entity_docs(spark, sf, oracle.EARLIER)
     return {
         "failed": docs.filter(c("n_bytes") > 6000).select("key"),
         "undeletable": old.filter(c("n_bytes") > 2000).select("key"),
@@ -454,6 +466,19 @@ def publish_plan(spark, sf):
     return _plan(spark, sf)
 
 
+def publish_resume(spark, sf):
+    """A first publish of everything that was cut off after the titles documents."""
+    docs = _all_docs(spark, sf)
+    present = docs.filter(c("family") == "titles").select("key")
+    options = publish.PublishOptions(resume=True)
+    return publish.plan_publish(docs, None, options, existing=present).select("key", "action")
+
+
+def publish_limited(spark, sf):
+    """A trial run of the first thousand keys."""
+    return publish.plan_publish(_all_docs(spark, sf), None, publish.PublishOptions(limit=1000)).select("key", "action")
+
+
 def publish_plan_scoped(spark, sf):
     options = publish.PublishOptions(include=("e/1", "e/n-"))
     return _plan(spark, sf, options=options, **_feedback(spark, sf)).select(
@@ -469,7 +494,7 @@ def publish_report(spark, sf):
 
 
 def meta_document(spark, sf):
-    manifest = _title_docs(spark, sf).select("key", "sha256")
+    manifest = _all_docs(spark, sf).select("key", "sha256")
     counts = documents.table_counts(_tables(spark, sf))
     return _keyed(documents.meta_document(counts, manifest, "2026-01-01T00:00:00+00:00"))
 
@@ -522,7 +547,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         title_prefix_heads, employer_search_documents, title_search_documents,
         index_reachability, search_lookup, title_search_lookup, point_lookup, jobs_lookup,
         wage_lookup, meta_lookup, sql_functions, publish_plan,
-        publish_plan_scoped, next_manifest, publish_report, meta_document, gates,
+        publish_plan_scoped, publish_resume, publish_limited, next_manifest, publish_report, meta_document, gates,
         top_entities, identifier_audit,
     ]
     return {

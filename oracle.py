@@ -365,6 +365,16 @@ _STAT = ("'{\"year\":' || year || ',\"n_filings\":' || n_filings || ',\"employer
 _NUM = lambda x: f"coalesce(CAST({x} AS VARCHAR), 'null')"
 _STR = lambda x: f"coalesce('\"' || {x} || '\"', 'null')"
 
+def _jobs_docs(s: str) -> str:
+    return f"""SELECT 'e/' || key || '/jobs.json' AS key, '{{"id":"' || key || '","jobs":[' || string_agg(
+        '{{"year":' || year || ',"soc_code":"' || soc_code || '","level":' || {_STR('level')}
+        || ',"avg_offered_wage":' || avg_wage || ',"min_wage":' || min_wage || ',"max_wage":' || max_wage
+        || ',"avg_prevailing_wage":' || {_NUM('avg_prev_wage')} || ',"state":' || {_STR('state')}
+        || ',"county":' || {_STR('county')} || ',"zip":' || {_STR('zip')} || ',"n_filings":' || n_filings || '}}', ','
+        ORDER BY year DESC, soc_code, level NULLS LAST, state NULLS LAST, county NULLS LAST, zip NULLS LAST)
+        || ']}}' AS body FROM jobs{s} GROUP BY key"""
+
+
 TABLES.update({
     "wage_docs": f"""SELECT 'w/' || soc_code || '/' || coalesce(level, 'NA') || '.json' AS key,
         '{{"soc_code":"' || soc_code || '","level":' || {_STR('level')} || ',"national":[' ||
@@ -376,13 +386,8 @@ TABLES.update({
           SELECT soc_code, level, scope, place, string_agg(stat, ',' ORDER BY state NULLS LAST, zip NULLS LAST, year)
             AS list FROM (SELECT *, {_STAT} AS stat, CASE scope WHEN 'zip' THEN zip WHEN 'state' THEN state END AS place
             FROM bench) GROUP BY ALL) GROUP BY soc_code, level""",
-    "jobs_docs": f"""SELECT 'e/' || key || '/jobs.json' AS key, '{{"id":"' || key || '","jobs":[' || string_agg(
-        '{{"year":' || year || ',"soc_code":"' || soc_code || '","level":' || {_STR('level')}
-        || ',"avg_offered_wage":' || avg_wage || ',"min_wage":' || min_wage || ',"max_wage":' || max_wage
-        || ',"avg_prevailing_wage":' || {_NUM('avg_prev_wage')} || ',"state":' || {_STR('state')}
-        || ',"county":' || {_STR('county')} || ',"zip":' || {_STR('zip')} || ',"n_filings":' || n_filings || '}}', ','
-        ORDER BY year DESC, soc_code, level NULLS LAST, state NULLS LAST, county NULLS LAST, zip NULLS LAST)
-        || ']}}' AS body FROM jobs GROUP BY key""",
+    "jobs_docs": _jobs_docs(""),
+    "jobs_docs_old": _jobs_docs("_old"),
     "has": """SELECT key, key IN (SELECT key FROM jobs) AS has_jobs, key IN (SELECT key FROM titles) AS has_titles
         FROM employers""",
     "profile_docs": f"""SELECT 'e/' || key || '.json' AS key,
@@ -420,8 +425,12 @@ TABLES.update({
         WHERE try IN (SELECT prefix FROM s_docs) GROUP BY prefix""",
     "title_term_hits": """SELECT prefix, arg_min(try, n) AS hit FROM ranked_terms
         WHERE try IN (SELECT prefix FROM t_docs) GROUP BY prefix""",
-    "new_man": "SELECT key, sha256(body) AS sha, strlen(body) AS n_bytes FROM title_docs",
-    "old_man": "SELECT key, sha256(body) AS sha, strlen(body) AS n_bytes FROM title_docs_old",
+    "new_man": """SELECT key, sha256(body) AS sha, strlen(body) AS n_bytes FROM (
+        SELECT key, body FROM title_docs UNION ALL SELECT key, body FROM jobs_docs)""",
+    "old_man": """SELECT key, sha256(body) AS sha, strlen(body) AS n_bytes FROM (
+        SELECT key, body FROM title_docs_old UNION ALL SELECT key, body FROM jobs_docs_old)""",
+    "all_keys": " UNION ALL ".join(f"SELECT key FROM {t}" for t in (
+        "profile_docs", "jobs_docs", "title_docs", "wage_docs", "s_docs", "t_docs")),
     "diff": """SELECT coalesce(n.key, o.key) AS key, o.sha AS old_sha, n.sha AS new_sha, n.n_bytes,
         o.n_bytes AS old_bytes FROM new_man n FULL JOIN old_man o ON n.key = o.key""",
     "acted": """SELECT *, CASE WHEN new_sha IS NULL THEN CASE WHEN old_bytes > 2000 THEN 'undeletable' ELSE 'delete' END
@@ -600,6 +609,9 @@ FINALS = {
         LEFT JOIN wage_docs d ON d.key = doc_key""",
     "publish_plan": """SELECT key, CASE WHEN new_sha IS NULL THEN 'delete' WHEN old_sha = new_sha THEN 'unchanged'
         ELSE 'upload' END AS action, old_sha, new_sha, new_sha AS next_sha, n_bytes FROM diff""",
+    "publish_resume": """SELECT key, CASE WHEN key IN (SELECT key FROM title_docs) THEN 'skipped' ELSE 'upload' END
+        AS action FROM all_keys""",
+    "publish_limited": "SELECT key, 'upload' AS action FROM all_keys ORDER BY key LIMIT 1000",
     "publish_plan_scoped": """SELECT key, scoped_action AS action, CASE scoped_action WHEN 'upload' THEN new_sha
         WHEN 'unchanged' THEN new_sha WHEN 'deferred' THEN old_sha WHEN 'carried' THEN old_sha
         WHEN 'undeletable' THEN old_sha END AS next_sha FROM scoped""",
@@ -609,10 +621,10 @@ FINALS = {
         count(*) FILTER (WHERE action = 'upload') AS uploaded, CAST(0 AS BIGINT) AS skipped,
         count(*) FILTER (WHERE action = 'delete') AS deleted FROM acted""",
     "meta_document": f"""SELECT 'meta.json' AS key, '{{"ok":true,"rows":' || (SELECT {obj('"table"', 'n')} FROM row_counts)
-        || ',"built_at":"2026-01-01T00:00:00+00:00","objects":' || (SELECT count(*) + 1 FROM new_man) || '}}' AS body""",
+        || ',"built_at":"2026-01-01T00:00:00+00:00","objects":' || (SELECT count(*) + 1 FROM all_keys) || '}}' AS body""",
     "meta_lookup": f"""SELECT r_name AS caller, 'meta.json' AS doc_key, CAST(200 AS INTEGER) AS status,
         '{{"ok":true,"rows":' || (SELECT {obj('"table"', 'n')} FROM row_counts)
-        || ',"built_at":"2026-01-01T00:00:00+00:00","objects":' || (SELECT count(*) + 1 FROM new_man) || '}}' AS body
+        || ',"built_at":"2026-01-01T00:00:00+00:00","objects":' || (SELECT count(*) + 1 FROM all_keys) || '}}' AS body
         FROM region""",
     "gates": f"""SELECT name, value, CASE rule WHEN 'true' THEN true WHEN 'value >= 1' THEN value >= 1 ELSE value = 0 END
         AS ok FROM ({_GATES})""",
