@@ -35,7 +35,7 @@ from docketlake.llm.text import Words, slices
 SHORT = 48
 NONE = np.iinfo(np.int64).max
 #: Distinct white-space separated chunks whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 # The white space of Unicode, the word pattern of the vocabulary's
 # file (before it the line feed that ends a chunk here), and the printable stand-ins of the byte-level alphabet.

@@ -13,7 +13,7 @@ from docketlake.session import DEFAULTS, find_package, materialize, shared_folde
 
 
 #: Rows that a Python worker gets at a time; documents are some kilobytes, and some far more.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

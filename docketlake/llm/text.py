@@ -5,7 +5,9 @@ Everything here works on whole texts. A null text is an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside a task. A longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def fold(key: str, folds: int) -> Column:
@@ -22,6 +24,19 @@ def fold(key: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live for many tasks, and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The texts in order, in runs of at most ``limit`` bytes where texts allow."""
     texts = pc.fill_null(column, "")
@@ -32,7 +47,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield texts.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Words:
