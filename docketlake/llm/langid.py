@@ -220,4 +220,5 @@ def predict(model: Model, text: str | Column, spark) -> Column:
         return pa.StructArray.from_arrays(
             [pa.array(np.concatenate([np.zeros(0, object), *labels]), pa.string()),
              pa.array(np.concatenate([np.zeros(0), *scores]))], ["lang_pred", "score"])
-    return classify(text)
+    # Not deterministic for the planner, which would else evaluate it once for each use.
+    return classify.asNondeterministic()(text)

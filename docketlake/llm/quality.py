@@ -208,7 +208,8 @@ def predict(model: Model, text: str | Column, spark) -> Column:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tails) + 1, dtype=np.int32) * tails.shape[1]),
                                          pa.array(tails.ravel()))
         return pa.StructArray.from_arrays([pa.array(tails.sum(1)), lists], ["expected_grade", "tails"])
-    return rate(text)
+    # Not deterministic for the planner, which would else evaluate it once for each use.
+    return rate.asNondeterministic()(text)
 
 
 def selected(tails: Column, least: float = LEAST) -> Column:
