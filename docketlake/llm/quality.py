@@ -7,9 +7,10 @@ case, letters and digits only), their first four letters, and the shapes of its
 tokens (runs of letters, capitals and digits as one sign); a feature's value is one
 plus the logarithm of its count. The weights are learned on the driver from a
 bounded sample of rated texts (``PER_GRADE`` rows of each grade, by hash), weighted
-back to the grades' true shares. Only features whose likelihood-ratio statistic
-against the grade reaches ``LEAST_TEST`` have a weight: texts hold far more words
-than there are ratings. Every text is scored whole.
+back to the grades' true shares. Features whose likelihood-ratio statistic against
+the grade stays under the low ``LEAST_TEST`` have no weight: texts hold far more
+words than there are ratings. The penalty does the rest, so that the rarer signs of
+rare grades count too. Every text is scored whole.
 
 Null and empty texts have no features and get the score zero. Rows without rating
 teach nothing. Without any rating every text gets grade 0 with probability one half.
@@ -36,7 +37,7 @@ LEAST = 0.4
 #: Bound of the sample that the weights are learned from, and most grades.
 PER_GRADE, GRADES = 2000, 8
 #: Statistic that a feature must reach, penalty, and rounds and memory of the descent.
-LEAST_TEST, L2, ROUNDS, MEMORY = 80.0, 1e-4, 150, 10
+LEAST_TEST, L2, ROUNDS, MEMORY = 5.0, 1e-4, 150, 10
 
 
 def _buckets(values: pa.Array, kind: int) -> np.ndarray:

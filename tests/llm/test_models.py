@@ -101,6 +101,26 @@ def test_quality_held_out(spark):
     assert all(r["expected_grade"] == pytest.approx(sum(r["tails"])) for r in rows)
 
 
+def test_quality_held_out_toxic_by_language(spark):
+    """Texts that were not learned from, also not as copies."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rated = quality.grades(spark.read.parquet(f"{sf}/labels.parquet"))
+    learned, held = rated.filter(fold("doc_id", 3) != 1), rated.filter(fold("doc_id", 3) == 1)
+    model = quality.fit(docs, learned)
+    new = docs.join(held, "doc_id").join(docs.join(learned, "doc_id").select("text"), "text", "left_anti")
+    p = quality.predict(model, "text", spark)
+    rows = new.select("lang", "grade", p.alias("p")).select("lang", "grade", quality.selected(F.col("p.tails")).alias("keep"))
+    kept = defaultdict(list)
+    for r in rows.collect():
+        kept[r["grade"]].append(r["keep"])
+        kept[r["grade"], r["lang"]].append(r["keep"])
+    kept = {k: (sum(v), len(v)) for k, v in kept.items()}
+    share = {k: n / of for k, (n, of) in kept.items()}
+    assert share[2] > 0.98 and share[1] < 0.45, kept
+    assert all(share[1, lang] < 0.75 for lang in ("de", "en", "es", "fr")), kept
+
+
 def test_quality_odd(spark):
     none = quality.fit(empty(spark), spark.createDataFrame([], "doc_id long, grade int"))
     rows = odd(spark).select(quality.predict(none, "text", spark).alias("p")).collect()
