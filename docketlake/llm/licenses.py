@@ -8,7 +8,8 @@ their order, and a rule that matches a run of the sequence names its licence and
 takes that run out, so that a long licence is not also reported for a part of it.
 
 Licences are often wrapped over several lines. So a text is read twice: with each
-line by itself, and with single line feeds as spaces. The second reading is used
+line by itself, and with single line feeds as spaces; there, lines without a letter
+or digit, such as a comment's blank lines, and colons end a sentence too. The second reading is used
 for what the first does not know; of equal licences one is reported.
 
 A null or empty text has no licences. Rows are kept as they are; a text with no
@@ -44,6 +45,11 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
     " license as published by the free software foundation either version 2 of the license or at your option any later"
     " version": "gpl-2-or-later",
+    # The same without what stands before the colon, which ends a sentence in wrapped texts.
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the"
+    " free software foundation either version 3 of the license or at your option any later version": "gpl-3-or-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the"
+    " free software foundation either version 2 of the license or at your option any later version": "gpl-2-or-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
     " warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "see the gnu general public license for more details": "gpl-details",
@@ -85,7 +91,7 @@ SHORTEST, LONGEST = min(map(len, SENTENCES)), max(map(len, SENTENCES))
 SPARE = 4 * LONGEST
 MARK = "\x01"
 LINE_ENDS = r"\n|[.!?]+([ \t\r\n]+|$)"
-SENTENCE_ENDS = r"\n[ \t]*\n|[.!?:]+([ \t\r\n]+|$)"
+SENTENCE_ENDS = r"(\n[ \t\r*#/;%!|<>=-]*)+\n|[.!?:]+([ \t\r\n]+|$)"
 #: Words of which every licence sentence has one; other sentences are not normalised.
 TELLING = "(?i)licen|software|copyright|permission|redistribut|reserved|warranty"
 

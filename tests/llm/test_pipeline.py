@@ -47,6 +47,39 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def commented(text, start, mark, end):
+    body = "\n".join(f"{mark} {line}".rstrip() for line in ["Copyright (C) 2020 Foo", "", *text.splitlines()])
+    return f"{start}\n{body}\n{end}\n"
+
+
+def scanned(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [(r["_scan"]["sentences"], r["_scan"]["licences"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_headers_plain_and_commented(spark):
+    marks = [("/*", " *", " */"), ("", "#", ""), ("", "//", ""), ("", "", "")]
+    two = GPL.replace("version 3", "version 2").replace("software:", "software;")
+    for text, ids, licence in (
+            (MIT, ["mit-grant", "mit-condition", "mit-warranty"], "MIT"),
+            (GPL, ["gpl-3-or-later", "gpl-warranty", "gpl-details"], "GPL-3.0-or-later"),
+            (two, ["gpl-2-or-later", "gpl-warranty", "gpl-details"], "GPL-2.0-or-later")):
+        texts = [text, text.replace("\n", "\r\n"), *[commented(text, *m) for m in marks]]
+        assert scanned(spark, texts) == [(ids, [licence])] * len(texts)
+
+
 def test_earlier_rules_take_their_sentences(spark):
     row = spark.range(1).select(*licenses.by_rules(F.array(*map(F.lit, ["gpl-3-or-later", "gpl-warranty", "gpl-details", "x"]))))
     assert tuple(row.head()) == (["GPL-3.0-or-later"], "||x|")
