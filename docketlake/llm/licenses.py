@@ -59,6 +59,52 @@ SENTENCES = {
     " disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following"
     " disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    **dict.fromkeys([
+        f"{name} may {verb} used to endorse or promote products derived from this software without specific prior"
+        " written permission" for name, verb in (
+            ("neither the name of the copyright holder nor the names of its contributors", "be"),
+            ("the names of its contributors", "be"), ("nor the names of its contributors", "be"),
+            ("the names of contributors", "be"), ("the names of other contributors", "be"),
+            ("the name of the author", "not be"), ("the names of its contributors", "not be"))], "bsd-endorse"),
+    "all advertising materials mentioning features or use of this software must display the following"
+    " acknowledgement": "bsd-advertising",
+    **{f"{start}{terms}": name
+       for start in ("this program is free software ", "this library is free software ", "")
+       for terms, name in {
+           f"you can redistribute it and or modify it under the terms of the gnu {kind}general public license {rest}":
+           f"{short}-{version.replace(' ', '.')}-{which}"
+           for kind, short, version in (("", "gpl", "2"), ("", "gpl", "3"), ("lesser ", "lgpl", "2 1"),
+                                        ("lesser ", "lgpl", "3"), ("affero ", "agpl", "3"))
+           for rest, which in (
+               (f"as published by the free software foundation either version {version} of the license or at your"
+                " option any later version", "or-later"),
+               (f"as published by the free software foundation version {version} of the license", "only"),
+               (f"as published by the free software foundation either version {version} of the license", "only"),
+               (f"version {version} as published by the free software foundation", "only"))}.items()},
+    "this work is licensed under the gnu general public license version 2": "gpl-2-only",
+    "see the gnu lesser general public license for more details": "lgpl-details",
+    "see the gnu affero general public license for more details": "agpl-details",
+    # The full stop of "v. 2.0" ends the sentence.
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-2-notice",
+    "licensed under the mozilla public license version 2 0": "mpl-2-notice",
+    **dict.fromkeys([
+        f"permission to use copy modify and{x} distribute this software for any purpose with or without fee is hereby"
+        " granted provided that the above copyright notice and this permission notice appear in all copies"
+        for x in (" or", "")], "isc-grant"),
+    "licensed under the isc license": "isc-notice",
+    "released under the isc license": "isc-notice",
+    "licensed under the bsd 3 clause license": "bsd-3-notice",
+    "released under the bsd 3 clause license": "bsd-3-notice",
+    "licensed under the bsd 2 clause license": "bsd-2-notice",
+    "released under the bsd 2 clause license": "bsd-2-notice",
+    "licensed under cc0 1 0": "cc0-notice",
+    "released under cc0 1 0": "cc0-notice",
+    **dict.fromkeys([
+        f"to the extent possible under law the author{s} waived all copyright and related or neighboring rights to this"
+        f" {what}" for s in (" has", " s have") for what in ("work", "software")], "cc0-waiver"),
+    **dict.fromkeys([
+        f"to the extent possible under law the author{s} dedicated all copyright and related and neighboring rights to"
+        " this software to the public domain worldwide" for s in (" has", " s have")], "cc0-waiver"),
     "licensed under cc by nc 4 0": "cc-by-nc-4-notice",
     "licensed under cc by 4 0": "cc-by-4-notice",
     "licensed under cc by sa 4 0": "cc-by-sa-4-notice",
@@ -79,7 +125,24 @@ RULES = [
     (["gpl-2-or-later", "gpl-warranty"], "GPL-2.0-or-later"),
     (["gpl-2-or-later"], "GPL-2.0-or-later"),
     (["gpl-3-notice"], "GPL-3.0-only"),
+    (["gpl-3-only"], "GPL-3.0-only"),
+    (["gpl-2-only"], "GPL-2.0-only"),
+    (["lgpl-3-or-later"], "LGPL-3.0-or-later"),
+    (["lgpl-3-only"], "LGPL-3.0-only"),
+    (["lgpl-2.1-or-later"], "LGPL-2.1-or-later"),
+    (["lgpl-2.1-only"], "LGPL-2.1-only"),
+    (["agpl-3-or-later"], "AGPL-3.0-or-later"),
+    (["agpl-3-only"], "AGPL-3.0-only"),
+    (["mpl-2-notice"], "MPL-2.0"),
+    (["isc-grant"], "ISC"),
+    (["isc-notice"], "ISC"),
+    (["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"], "BSD-4-Clause"),
+    (["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], "BSD-3-Clause"),
     (["bsd-grant", "bsd-source", "bsd-binary"], "BSD-2-Clause"),
+    (["bsd-3-notice"], "BSD-3-Clause"),
+    (["bsd-2-notice"], "BSD-2-Clause"),
+    (["cc0-notice"], "CC0-1.0"),
+    (["cc0-waiver"], "CC0-1.0"),
     (["cc-by-nc-4-notice"], "CC-BY-NC-4.0"),
     (["cc-by-sa-4-notice"], "CC-BY-SA-4.0"),
     (["cc-by-4-notice"], "CC-BY-4.0"),
@@ -90,10 +153,13 @@ SHORTEST, LONGEST = min(map(len, SENTENCES)), max(map(len, SENTENCES))
 #: A sentence before normalisation may be longer by comment marks and white space.
 SPARE = 4 * LONGEST
 MARK = "\x01"
-LINE_ENDS = r"\n|[.!?]+([ \t\r\n]+|$)"
-SENTENCE_ENDS = r"(\n[ \t\r*#/;%!|<>=-]*)+\n|[.!?:]+([ \t\r\n]+|$)"
+#: The owner's name in BSD's third condition differs from text to text; what follows it is known.
+OWNER = r"[Nn](either|EITHER)\s+([Tt]he|THE)\s+(names?|NAMES?)\s+(of|OF)\s[\s\S]{1,200}?\s(nor|NOR)\s"
+LINE_OWNER = r"[Nn](either|EITHER) ([Tt]he|THE) (names?|NAMES?) (of|OF) [^\n]{1,200}? (nor|NOR) "
+LINE_ENDS = r"\n|[.!?]+([ \t\r\n]+|$)|" + LINE_OWNER
+SENTENCE_ENDS = r"(\n[ \t\r*#/;%!|<>=-]*)+\n|[.!?:]+([ \t\r\n]+|$)|" + OWNER
 #: Words of which every licence sentence has one; other sentences are not normalised.
-TELLING = "(?i)licen|software|copyright|permission|redistribut|reserved|warranty"
+TELLING = "(?i)licen|software|copyright|permission|redistribut|reserved|warranty|cc0"
 
 
 def normalised(sentence: Column) -> Column:

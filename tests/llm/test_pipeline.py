@@ -80,6 +80,54 @@ def test_headers_plain_and_commented(spark):
         assert scanned(spark, texts) == [(ids, [licence])] * len(texts)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ADVERTISING = """
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software.
+"""
+
+
+def test_common_licences_have_their_names(spark):
+    words = " ".join(GPL.split())
+    cases = [
+        (BSD, "BSD-2-Clause"), (BSD + THIRD, "BSD-3-Clause"), (BSD + ADVERTISING + THIRD, "BSD-4-Clause"),
+        (BSD + THIRD.replace("the copyright holder", "Foo Inc."), "BSD-3-Clause"),
+        (BSD + THIRD.replace("the copyright holder", "the University of Foo"), "BSD-3-Clause"),
+        (commented(BSD + THIRD, "/*", " *", " */"), "BSD-3-Clause"), (" ".join((BSD + THIRD).split()), "BSD-3-Clause"),
+        (GPL.replace("General", "Lesser General"), "LGPL-3.0-or-later"),
+        (GPL.replace("General", "Lesser General").replace("version 3", "version 2.1"), "LGPL-2.1-or-later"),
+        (GPL.replace("General", "Affero General"), "AGPL-3.0-or-later"),
+        (words.replace(", or (at your option) any later version", "").replace("either version 3", "version 2"),
+         "GPL-2.0-only"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby"
+         " granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        ("Released under CC0 1.0.", "CC0-1.0"),
+    ]
+    assert [licences for _, licences in scanned(spark, [text for text, _ in cases])] == [[name] for _, name in cases]
+
+
+def test_every_known_sentence_is_looked_up():
+    import re
+
+    assert all(re.search(licenses.TELLING, s) for s in licenses.SENTENCES)
+    assert {i for run, _ in licenses.RULES for i in run} <= set(licenses.SENTENCES.values())
+
+
 def test_earlier_rules_take_their_sentences(spark):
     row = spark.range(1).select(*licenses.by_rules(F.array(*map(F.lit, ["gpl-3-or-later", "gpl-warranty", "gpl-details", "x"]))))
     assert tuple(row.head()) == (["GPL-3.0-or-later"], "||x|")
