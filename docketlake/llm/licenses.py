@@ -10,7 +10,8 @@ takes that run out, so that a long licence is not also reported for a part of it
 Licences are often wrapped over several lines. So a text is read twice: with each
 line by itself, and with single line feeds as spaces; there, lines without a letter
 or digit, such as a comment's blank lines, and colons end a sentence too. The second reading is used
-for what the first does not know; of equal licences one is reported.
+for what the first does not know, and then both are merged in the order of the text;
+of equal licences one is reported.
 
 A null or empty text has no licences. Rows are kept as they are; a text with no
 known sentence has empty arrays.
@@ -174,6 +175,21 @@ def identifiers(text: Column, ends: str = LINE_ENDS) -> Column:
     return F.filter(F.transform(near, lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
 
 
+def placed(text: Column, ends: str) -> Column:
+    """The same as structs (at, id), where at is how many letters and digits the text has up to the sentence's end."""
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    pieces = F.split(F.regexp_replace(text, ends, f"{MARK}$0{MARK}"), MARK)  # the ends are pieces too
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, id: string>>").alias("found"))
+
+    def step(so_far: Column, piece: Column) -> Column:
+        at = so_far["at"] + F.length(F.regexp_replace(F.lower(piece), "[^a-z0-9]+", ""))
+        near = (F.length(piece) >= SHORTEST) & (F.length(piece) <= SPARE) & piece.rlike(TELLING)
+        here = F.struct(at.alias("at"), F.when(near, F.try_element_at(known, normalised(piece))).alias("id"))
+        return F.struct(at.alias("at"), F.when(here["id"].isNull(), so_far["found"]).otherwise(
+            F.array_append(so_far["found"], here)).alias("found"))
+    return F.aggregate(pieces, first, step)["found"]
+
+
 def by_rules(found: Column) -> tuple[Column, Column]:
     """The licences of an identifier sequence in the order of the rules, and what no rule took."""
     rest = F.concat(F.lit("|"), F.array_join(found, "||"), F.lit("|"))
@@ -187,12 +203,13 @@ def by_rules(found: Column) -> tuple[Column, Column]:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``_scan``: sentence identifiers, licences and whether any was found."""
-    lines = identifiers(F.coalesce(F.col(text), F.lit("")))
-    wrapped = identifiers(F.coalesce(F.col(text), F.lit("")), SENTENCE_ENDS)
-    out = docs.withColumn("_lines", lines).withColumn("_wrapped", wrapped)
-    more = F.array_except("_wrapped", "_lines")
-    known = F.concat("_lines", F.filter("_wrapped", lambda i: F.array_contains(more, i)))
-    out = out.withColumn("_known", known)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    out = docs.withColumn("_lines", identifiers(whole)).withColumn("_wrapped", identifiers(whole, SENTENCE_ENDS))
+    # Few texts need both readings, so only those are read again with places.
+    both = F.array_sort(F.array_union(placed(whole, LINE_ENDS), placed(whole, SENTENCE_ENDS)))
+    new = F.size(F.array_except("_wrapped", "_lines")) > 0
+    out = out.withColumn("_known", F.when(new & (F.size("_lines") > 0), F.transform(both, lambda p: p["id"])).otherwise(
+        F.when(new, F.col("_wrapped")).otherwise(F.col("_lines"))))
     licences, _ = by_rules(F.col("_known"))
     out = out.withColumn("_scan", F.struct(F.col("_known").alias("sentences"), licences.alias("licences")))
     return out.drop("_lines", "_wrapped", "_known")

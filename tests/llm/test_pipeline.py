@@ -128,6 +128,18 @@ def test_every_known_sentence_is_looked_up():
     assert {i for run, _ in licenses.RULES for i in run} <= set(licenses.SENTENCES.values())
 
 
+def test_partly_wrapped_texts_keep_their_order(spark):
+    grant, condition, warranty = MIT.split("\n\n", 1)[1].split("\n\n")
+    line = " ".join(condition.split())
+    texts = ["\n\n".join(x) for x in (
+        (grant, line, warranty), (" ".join(grant.split()), condition, warranty), (grant, condition, " ".join(warranty.split())))]
+    known = ["mit-grant", "mit-condition", "mit-warranty"]
+    assert scanned(spark, texts) == [(known, ["MIT"])] * 3
+    twice = "All rights reserved\n\n" + texts[0] + "\n" + texts[1] + "\nReleased under the MIT License"
+    assert scanned(spark, [twice]) == [
+        (["all-rights-reserved", *known, *known, "mit-notice"], ["MIT", "LicenseRef-all-rights-reserved"])]
+
+
 def test_earlier_rules_take_their_sentences(spark):
     row = spark.range(1).select(*licenses.by_rules(F.array(*map(F.lit, ["gpl-3-or-later", "gpl-warranty", "gpl-details", "x"]))))
     assert tuple(row.head()) == (["GPL-3.0-or-later"], "||x|")
