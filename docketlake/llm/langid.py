@@ -5,7 +5,8 @@ in lower case, runs of anything else as one space. A text's value for an n-gram
 its share among the text's n-grams times the inverse document frequency, which is
 counted over every learning row. The weights are learned on the driver by
 follow-the-regularised-leader with elastic-net penalties from a bounded sample
-(``PER_LANGUAGE`` rows of each language, by hash); every fifth row of the sample is
+(``PER_LANGUAGE`` rows of each language, by hash; above ``LANGUAGES`` languages all
+share the rows of that many, and none is left out); every fifth row of the sample is
 set apart to fit the temperature that calibrates the probabilities.
 
 A text that is null or has no letter is ``und`` with score 0. Without any learning
@@ -127,7 +128,10 @@ class Leader:
     def __init__(self, size: int, classes: int):
         self.z, self.n = np.zeros((size, classes)), np.zeros((size, classes))
 
-    def weights(self, at=slice(None)) -> np.ndarray:
+    def weights(self, at=None) -> np.ndarray:
+        if at is None:  # in parts, as all buckets of many languages take much memory
+            part = 1 << 14
+            return np.concatenate([self.weights(np.s_[k : k + part]) for k in range(0, len(self.z), part)])
         z, n = self.z[at], self.n[at]
         step = (OFFSET + np.sqrt(n)) / RATE + L2
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / step)
@@ -199,7 +203,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def predict(model: Model, text: str | Column, spark) -> Column:
     """A struct column (lang_pred, score) for a text column."""
-    shared = spark.sparkContext.broadcast(model)  # 2 ** BITS rows of at most LANGUAGES weights
+    shared = spark.sparkContext.broadcast(model)  # 2 ** BITS rows of a weight per language
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def classify(texts: pa.Array) -> pa.Array:

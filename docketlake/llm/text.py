@@ -15,8 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.session import materialize
+
 #: Bytes of text handled at a time inside a task. A longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Rows of each group that a sample of many groups has at least.
+LEAST_ROWS = 50
 
 
 def fold(key: str, folds: int) -> Column:
@@ -78,15 +82,20 @@ def sampled(rows: DataFrame, group: str, per_group: int, salt: str, most_groups:
     """About ``per_group`` rows of each value of ``group``, chosen by a hash of the rows.
 
     The choice depends on the rows alone, so a repeated task makes it again. The
-    groups are counted first, and the counts of the ``most_groups`` largest are
-    broadcast, so that no row is shuffled by group. ``per_group * most_groups`` is a
-    hard bound on the result.
+    groups are counted first and the counts broadcast, so that no row is shuffled by
+    group. No group is left out: above ``most_groups`` all share the rows of that many,
+    with at least ``LEAST_ROWS`` each. ``per_group * most_groups`` is a hard bound on the
+    result up to that, and twice the shares above.
     """
     order = F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in rows.columns])
-    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups)
+    counts = materialize(rows.filter(F.col(group).isNotNull()).groupBy(group).count(), "sample-counts")
+    n, bound = counts.count(), per_group * most_groups
+    if n > most_groups:
+        per_group = min(per_group, max(bound // n, LEAST_ROWS))
+        bound = 2 * per_group * n
     counts = F.broadcast(counts.withColumnRenamed(group, "_g"))
     share = F.lit(float(per_group)) / F.col("count")
     unit = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
     picked = rows.join(counts, F.col(group) == F.col("_g")).filter(unit < share)
-    return (picked.withColumn("_order", order).orderBy("_order").limit(per_group * most_groups)
+    return (picked.withColumn("_order", order).orderBy("_order").limit(bound)
             .drop("_g", "count", "_order"))

@@ -54,6 +54,20 @@ def test_languages_held_out(spark, languages):
     assert (languages.weights == 0).mean() > 0.9  # sparse
 
 
+def test_no_language_is_left_out(spark):
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for _ in range(70)]
+    rows = spark.createDataFrame(
+        [(" ".join(rng.choice(words[k], 12)), f"l{k:02}") for k in range(70) for _ in range(6 + k % 3)], "text string, lang string")
+    model = langid.fit(rows)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    found = rows.select("lang", langid.predict(model, "text", spark).alias("p")).select("lang", "p.lang_pred").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.9
+    many = spark.range(30000).select((F.col("id") % 100).alias("g"), "id")
+    drawn = sampled(many, "g", 100, "x", 10)
+    assert drawn.select("g").distinct().count() == 100 and drawn.count() <= 2 * 50 * 100
+
+
 def test_languages_odd(spark, languages):
     rows = odd(spark).select("doc_id", "score", langid.predict(languages, "text", spark).alias("p")).collect()
     assert [r["p"]["lang_pred"] == langid.UND for r in rows] == [True, True, True, False, False, False]
