@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, kneser_ney, langid, licenses, packing, quality, simhash, token_rollup, topk, vector_graph
+from docketlake.llm import (
+    bpe, kneser_ney, langid, licenses, packing, pii, quality, simhash, token_rollup, topk, vector_graph,
+)
 from docketlake.llm.text import fold
 from docketlake.session import DEFAULTS, find_package, materialize, shared_folder
 
@@ -124,10 +126,19 @@ def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0)
 
 
+def op11_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii.digests(docs, name="_pii").select("doc_id", "_pii.*")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op5_kneser_ney,
     op6_vector_graph, op7_license_scan, op8_token_rollup, op9_best_fit_packing, op10_exact_top_k,
+    op11_pii,
 )}
+
+
 def _license_sql() -> str:
     """The same table of sentences and the same rules, for DuckDB."""
     def quoted(text: str) -> str:
