@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm import (
-    bpe, kneser_ney, langid, licenses, packing, pii, quality, simhash, token_rollup, topk, vector_graph,
+    bpe, kneser_ney, langid, licenses, packing, pii, quality, simhash, spelling, token_rollup, topk, vector_graph,
 )
 from docketlake.llm.text import fold
 from docketlake.session import DEFAULTS, find_package, materialize, shared_folder
@@ -132,10 +132,16 @@ def op11_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(docs, name="_pii").select("doc_id", "_pii.*")
 
 
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """The forms of all words of the documents, one run in 31 without one of its letters."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.occurrences(docs, every=31))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op5_kneser_ney,
     op6_vector_graph, op7_license_scan, op8_token_rollup, op9_best_fit_packing, op10_exact_top_k,
-    op11_pii,
+    op11_pii, op13_spelling_variants,
 )}
 
 
@@ -172,7 +178,53 @@ def _license_sql() -> str:
     """
 
 
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes: each byte is mixed in, then eight bits are shifted out."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    steps = f"flatten(list_transform({octets}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda acc, x: CASE WHEN x >= 0 "
+            "THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295)")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+            FROM documents
+        ), counted AS (
+            SELECT doc_id, run, count(*) AS m, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+            FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+        ), spelled AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                   ELSE run END AS word, m
+            FROM counted
+        ), words AS (
+            SELECT word, sum(m)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2
+        ), cut AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word, b.word AS near, b.n AS m FROM cut a JOIN cut b
+            ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, arg_min(near, (-m, encode(near))) AS near, max(m) AS m
+            FROM pairs GROUP BY word
+        ), forms AS (
+            SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN near END AS form,
+                   CASE WHEN m >= 10 * n THEN m END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word
+        ), follow AS (
+            SELECT word, word AS root, form AS next FROM forms
+            UNION ALL
+            SELECT f.word, f.next, g.form FROM follow f JOIN forms g ON g.word = f.next
+        )
+        SELECT f.word, form, r.root, n, n_near, form_n
+        FROM forms f JOIN follow r ON r.word = f.word AND r.next IS NULL
+    """,
     "op7_license_scan": _license_sql(),
     "op6_vector_graph": """
         WITH RECURSIVE v AS (
