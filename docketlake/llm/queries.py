@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm import (
-    bpe, kneser_ney, langid, licenses, packing, pii, quality, simhash, spelling, token_rollup, topk, vector_graph,
+    bpe, kneser_ney, langid, licenses, packing, pii, prefix_trie, quality, simhash, spelling, token_rollup, topk, vector_graph,
 )
 from docketlake.llm.text import fold
 from docketlake.session import DEFAULTS, find_package, materialize, shared_folder
@@ -132,6 +132,12 @@ def op11_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(docs, name="_pii").select("doc_id", "_pii.*")
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the beginning of its group's first."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
 def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     """The forms of all words of the documents, one run in 31 without one of its letters."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -141,7 +147,7 @@ def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_bpe_round_trip, op3_simhash_groups, op4_quality_grades, op5_kneser_ney,
     op6_vector_graph, op7_license_scan, op8_token_rollup, op9_best_fit_packing, op10_exact_top_k,
-    op11_pii, op13_spelling_variants,
+    op11_pii, op12_prefix_trie, op13_spelling_variants,
 )}
 
 
@@ -187,6 +193,44 @@ def _crc32_sql(text: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT c, {_crc32_sql("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t)
+        ), r AS (
+            SELECT i.c, t.role, t.text, 0 AS part, t.k FROM ids i JOIN t ON t.c = i.c - i.c % 20 AND t.k <= i.h
+            UNION ALL SELECT i.c, t.role, t.text, 1, t.k FROM ids i JOIN t ON t.c = i.c AND t.k > i.h
+        ), turns AS (
+            SELECT c, md5(role || chr(0) || text) AS m, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d,
+                   len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w
+            FROM r
+        ), prefixes AS (
+            SELECT c, d, w, md5(string_agg(m, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM turns
+            UNION ALL SELECT c, 0, 0, '' FROM ids
+        ), linked AS (
+            SELECT p.*, u.key AS up, d = max(d) OVER (PARTITION BY p.c) AS is_end
+            FROM prefixes p LEFT JOIN (SELECT c, d + 1 AS d, key FROM prefixes) u USING (c, d)
+        ), nodes AS (
+            SELECT key, d AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256
+            FROM linked GROUP BY key, d
+        ), counted AS (
+            SELECT n.*, coalesce(k.n_children, 0) AS n_children
+            FROM nodes n LEFT JOIN (
+                SELECT up, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up, depth
+            ) k ON k.up = n.key AND k.depth = n.depth
+        ), below AS (
+            SELECT p.key, p.d AS depth, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.w) AS saved
+            FROM counted n JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.key, p.d
+        )
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+               b.n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM counted n JOIN below b ON b.key = n.key AND b.depth = n.depth
+        LEFT JOIN nodes u ON u.key = n.up AND u.depth = n.depth - 1
+    """,
     "op13_spelling_variants": f"""
         WITH RECURSIVE runs AS (
             SELECT doc_id, unnest(regexp_extract_all(
