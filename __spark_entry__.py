@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -24,7 +25,8 @@ from docketlake.operators import gates as quality
 from docketlake.operators import identity, lookup, profile, publish, rollups, search, staging
 from docketlake.plans import documents
 from docketlake.plans.rebuild import Build, ServingTables, rebuild
-from docketlake.session import DEFAULTS, materialize
+from docketlake.session import DEFAULTS, materialize, shared_folder
+from docketlake.sources import tables as store
 from docketlake.sources.warehouse import filings, table
 from docketlake.streaming.throttle import throttle_verdicts
 
@@ -381,12 +383,27 @@ def meta_lookup(spark, sf):
     return lookup.lookup_meta(docs, asked).select("caller", "doc_key", "status", "body")
 
 
-def jobs_lookup(spark, sf):
-    """Every identifier as filed, asked for its jobs document."""
-    docs = documents.jobs_documents(_tables(spark, sf).jobs)
-    asked = filings(_ready(spark), sf).lca.select(c("employer_fein").alias("id")).distinct()
-    return lookup.lookup_entity(docs, asked.filter(c("id").isNotNull()), "jobs").select(
-        "id", "doc_key", "status", F.length("body").cast("long").alias("n_chars"))
+@lru_cache(maxsize=8)
+def _served(app: str, spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store.write_documents(_all_docs(spark, sf), path, buckets=16)
+    return store.read_documents(spark, path), store.bucket_count(spark, path)
+
+
+def _store(spark, sf):
+    """All documents as a store in buckets, written once, and the number of its buckets."""
+    return _served(_ready(spark).sparkContext.applicationId, spark, sf)
+
+
+def _entity_lookup(family):
+    """Every identifier as filed, asked for its document of a family."""
+    def run(spark, sf):
+        docs, buckets = _store(spark, sf)
+        asked = filings(_ready(spark), sf).lca.select(c("employer_fein").alias("id")).distinct()
+        answers = lookup.lookup_entity(docs, asked.filter(c("id").isNotNull()), family, buckets)
+        return answers.groupBy("id", "doc_key", "status").agg(
+            F.sum(F.length("body")).cast("long").alias("n_chars"))
+    return run
 
 
 def sql_functions(spark, sf):
@@ -433,7 +450,7 @@ def _rendered(app: str, spark: SparkSession, sf: str, before: str | None) -> Dat
 def _entity_docs(spark, sf, before=None):
     """Rendered titles and jobs documents, stored once as a publisher has them."""
     docs = _rendered(_ready(spark).sparkContext.applicationId, spark, sf, before)
-    return docs.select("key", "sha256", "n_bytes")
+    return documents.digests(docs)
 
 
 @lru_cache(maxsize=8)
@@ -494,7 +511,7 @@ def publish_report(spark, sf):
 
 
 def meta_document(spark, sf):
-    manifest = _all_docs(spark, sf).select("key", "sha256")
+    manifest = documents.digests(_all_docs(spark, sf))
     counts = documents.table_counts(_tables(spark, sf))
     return _keyed(documents.meta_document(counts, manifest, "2026-01-01T00:00:00+00:00"))
 
@@ -545,13 +562,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         titles_rollup, fact_entity_join, entity_profile, wage_ratio, evidence_flags,
         export_flags, serving_row_counts, title_corpus, prefix_index, employer_prefix_heads,
         title_prefix_heads, employer_search_documents, title_search_documents,
-        index_reachability, search_lookup, title_search_lookup, point_lookup, jobs_lookup,
+        index_reachability, search_lookup, title_search_lookup, point_lookup,
         wage_lookup, meta_lookup, sql_functions, publish_plan,
         publish_plan_scoped, publish_resume, publish_limited, next_manifest, publish_report, meta_document, gates,
         top_entities, identifier_audit,
     ]
     return {
         **{f.__name__: f for f in plain},
+        "jobs_lookup": _entity_lookup("jobs"),
+        "profile_lookup": _entity_lookup("profile"),
         "level_mix": _profile_field("level_mix"),
         "trend": _profile_field("trend"),
         "code_year_map": _profile_field("filings_by_soc_year"),

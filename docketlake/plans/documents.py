@@ -1,4 +1,9 @@
-"""Serving tables rendered as JSON documents."""
+"""Serving tables rendered as JSON documents.
+
+Every family is (family, key, piece, body, sha256, n_bytes). A document is one row, but for
+very large ones of the streamed families (``plans.streamed``), whose last piece carries the
+digest.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlake.functions.aggregates import ordered_array
 from docketlake.operators import search
 from docketlake.operators.identity import union_all
 from docketlake.plans.rebuild import ServingTables
+from docketlake.plans.streamed import Section, json_text, streamed
 
 
 def number(value: Column) -> Column:
@@ -18,23 +23,28 @@ def number(value: Column) -> Column:
     return value.cast("double")
 
 
-def json_body(document: Column) -> Column:
-    """Compact JSON with explicit nulls."""
-    return F.to_json(document, {"ignoreNullFields": "false"})
-
-
 # The JSON field names below are the contract of the documents.
 
 
 def document(family: str, key: Column, body: Column) -> list[Column]:
-    return [F.lit(family).alias("family"), key.alias("key"), json_body(body).alias("body")]
+    return [F.lit(family).alias("family"), key.alias("key"), json_text(body).alias("body")]
 
 
 def seal(docs: DataFrame) -> DataFrame:
-    """Add the content digest and size that publishing compares."""
-    return docs.withColumn("sha256", F.sha2("body", 256)).withColumn(
-        "n_bytes", F.octet_length("body").cast("long")
-    )
+    """Documents of one row with the content digest and size that publishing compares.
+
+    Documents that were sealed when they were made stay as they are.
+    """
+    if "sha256" in docs.columns:
+        return docs
+    return docs.select(
+        "family", "key", F.lit(0).alias("piece"), "body", F.sha2("body", 256).alias("sha256"),
+        F.octet_length("body").cast("long").alias("n_bytes"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(key, sha256, n_bytes), one row a document."""
+    return docs.filter(F.col("sha256").isNotNull()).select("key", "sha256", "n_bytes")
 
 
 def _last(value: Column) -> list[Column]:
@@ -42,11 +52,6 @@ def _last(value: Column) -> list[Column]:
     return [value.isNull(), value]
 
 
-def _sorted_payload(order: Sequence[Column], payload: Column) -> Column:
-    keys = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    return F.transform(ordered_array(*keys, payload.alias("p")), lambda r: r["p"])
-
-
 # --- families ----------------------------------------------------------------
 
 
@@ -113,53 +118,35 @@ def jobs_documents(jobs: DataFrame) -> DataFrame:
         number(c("avg_prev_wage")).alias("avg_prevailing_wage"),
         "state", "county", "zip", "n_filings",
     )
-    grouped = jobs.groupBy("key").agg(_sorted_payload(order, row).alias("jobs"))
-    body = F.struct(c("key").alias("id"), "jobs")
-    return grouped.select(*document("jobs", F.concat(F.lit("e/"), "key", F.lit("/jobs.json")), body))
+    key = F.concat(F.lit("e/"), "key", F.lit("/jobs.json"))
+    return streamed(jobs, "jobs", key, F.struct(c("key").alias("id")), [Section("jobs")], row, order)
 
 
 def titles_documents(titles: DataFrame) -> DataFrame:
     c = F.col
     order = [-c("n_filings"), c("soc_code"), c("title")]
-    # Maps cannot be part of a sort key; the mix rides along as its entries.
     row = F.struct(
         "soc_code", "title", "n_filings", number(c("avg_wage")).alias("avg_wage"),
         number(c("min_wage")).alias("min_wage"), number(c("max_wage")).alias("max_wage"),
-        F.map_entries("level_mix").alias("level_mix"),
+        F.coalesce("level_mix", F.create_map()).alias("level_mix"),
     )
-    grouped = titles.groupBy("key").agg(_sorted_payload(order, row).alias("titles"))
-    restored = F.transform("titles", lambda t: t.withField(
-        "level_mix", F.coalesce(F.map_from_entries(t["level_mix"]), F.create_map())))
-    body = F.struct(c("key").alias("id"), restored.alias("titles"))
-    return grouped.select(*document("titles", F.concat(F.lit("e/"), "key", F.lit("/titles.json")), body))
+    key = F.concat(F.lit("e/"), "key", F.lit("/titles.json"))
+    return streamed(titles, "titles", key, F.struct(c("key").alias("id")), [Section("titles")], row, order)
 
 
 def wage_documents(benchmarks: DataFrame) -> DataFrame:
     c = F.col
-    doc = ["soc_code", "level"]
     stat = F.struct(
         "year", "n_filings", "employer_count",
         *[number(c(p)).alias(p) for p in ("p25", "p50", "p75", "mean", "min_wage", "max_wage")],
     )
+    sections = [Section("national"), Section("states", by_place=True), Section("zips", by_place=True)]
+    section = F.when(c("scope") == "national", 0).when(c("scope") == "state", 1).otherwise(2)
     place = F.when(c("scope") == "zip", c("zip")).when(c("scope") == "state", c("state"))
-    # First one array per place, then the places of each scope into their map.
-    places = benchmarks.groupBy(*doc, "scope", place.alias("place")).agg(
-        _sorted_payload([*_last(c("state")), *_last(c("zip")), c("year")], stat).alias("stats")
-    )
-
-    def of(scope: str) -> Column:
-        entries = F.collect_list(
-            F.when(c("scope") == scope, F.struct(c("place").alias("k"), c("stats").alias("v")))
-        )
-        return F.map_from_entries(F.array_sort(entries))
-
-    national = F.flatten(F.collect_list(F.when(c("scope") == "national", c("stats"))))
-    grouped = places.groupBy(*doc).agg(
-        national.alias("national"), of("state").alias("states"), of("zip").alias("zips")
-    )
-    stem = F.concat(F.lit("w/"), "soc_code", F.lit("/"), F.coalesce("level", F.lit("NA")), F.lit(".json"))
-    body = F.struct("soc_code", "level", "national", "states", "zips")
-    return grouped.select(*document("wages", stem, body))
+    key = F.concat(F.lit("w/"), "soc_code", F.lit("/"), F.coalesce("level", F.lit("NA")), F.lit(".json"))
+    order = [*_last(c("state")), *_last(c("zip")), c("year")]
+    return streamed(
+        benchmarks, "wages", key, F.struct("soc_code", "level"), sections, stat, order, section, place)
 
 
 def employer_search_documents(heads: DataFrame) -> DataFrame:
@@ -205,19 +192,18 @@ def meta_document(counts: DataFrame, manifest: DataFrame, built_at: str) -> Data
 def all_documents(
     tables: ServingTables, cap: int = search.CAP, cut: search.Cut | None = None,
 ) -> DataFrame:
-    """(family, key, body, sha256, n_bytes) of every family but meta.
+    """(family, key, piece, body, sha256, n_bytes) of every family but meta.
 
     ``tables`` should be stored ones: several families read the same table.
     """
     entries = search.employer_entries(tables.employers, tables.employer_profile)
     corpus = search.title_corpus(tables.job_titles)
-    return seal(
-        union_all(
-            profile_documents(tables),
-            jobs_documents(tables.jobs),
-            titles_documents(tables.job_titles),
-            wage_documents(tables.wage_benchmarks),
-            employer_search_documents(search.employer_index(entries, cap, cut)),
-            title_search_documents(search.title_index(corpus, cap, cut)),
-        )
-    )
+    families = (
+        profile_documents(tables),
+        jobs_documents(tables.jobs),
+        titles_documents(tables.job_titles),
+        wage_documents(tables.wage_benchmarks),
+        employer_search_documents(search.employer_index(entries, cap, cut)),
+        title_search_documents(search.title_index(corpus, cap, cut)),
+    )
+    return union_all(*[seal(docs) for docs in families])

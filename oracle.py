@@ -594,6 +594,10 @@ FINALS = {
         AS INTEGER) AS status, length(body) AS n_chars FROM (SELECT id, 'e/' || parsed || '/jobs.json' AS doc_key FROM (
           SELECT DISTINCT employer_fein AS id, {_key('employer_fein')} AS parsed FROM lca_raw
           WHERE employer_fein IS NOT NULL)) LEFT JOIN jobs_docs d ON d.key = doc_key""",
+    "profile_lookup": f"""SELECT id, doc_key, CAST(CASE WHEN doc_key IS NULL THEN 400 WHEN body IS NULL THEN 404 ELSE 200 END
+        AS INTEGER) AS status, length(body) AS n_chars FROM (SELECT id, 'e/' || parsed || '.json' AS doc_key FROM (
+          SELECT DISTINCT employer_fein AS id, {_key('employer_fein')} AS parsed FROM lca_raw
+          WHERE employer_fein IS NOT NULL)) LEFT JOIN profile_docs d ON d.key = doc_key""",
     "sql_functions": f"""SELECT soc, level, CAST(secondary AS VARCHAR) AS secondary, ein, nm,
         coalesce(ein, 'n-' || substr(md5(nm), 1, 16)) AS key, count(*) AS n FROM (SELECT {soc('soc_code')} AS soc,
           {level('pw_wage_level')} AS level, {flag('secondary_entity')} AS secondary, {ein('employer_fein')} AS ein,
