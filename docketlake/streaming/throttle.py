@@ -19,11 +19,12 @@ import math
 import sys
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 HOUR_MS = 3_600_000
@@ -211,48 +212,84 @@ _STEP_SCHEMA = (
     "event_id long, caller string, tier string, ms long, op string, ok boolean, "
     "tokens double, locked long"
 )
+_STATE_SCHEMA = "tokens double, refilled long, locked long, last long, timer boolean"
+#: Rows that a caller's answers leave in at a time, and the store that timers need.
+ANSWERS = 10_000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _step(tiers: Tiers):
-    limits = {t: (int(n), int(w)) for t, (n, w) in tiers.items()}
-
-    def run(key, frames: Iterator[pd.DataFrame], stored) -> Iterator[pd.DataFrame]:
-        caller, tier = key
-        limit, window = limits[tier]
-        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-        state = list(stored.get) if stored.exists else [float(limit), int(rows["ms"].iloc[0]), 0]
-        out = []
-        for event_id, now, op in rows[["event_id", "ms", "op"]].itertuples(index=False):
-            change = _arrive(state, int(now), int(op != "give"), op == "give", limit, window)
-            ok = op == "give" or (change is not None and change[2] == 1)
-            out.append((event_id, caller, tier, now, op, ok, state[0], state[2]))
-        stored.update(tuple(state))
-        yield pd.DataFrame(
-            out,
-            columns=["event_id", "caller", "tier", "ms", "op", "ok", "tokens", "locked"],
-        )
+class Bucket(StatefulProcessor):
+    """One caller's bucket. It is kept while it may not be full.
 
-    return run
+    A bucket without a call for a window is full again and its lockout is over, so it
+    need not be kept: a timer is set a window behind a call, and when the watermark
+    passes it the bucket goes, or the timer is set again behind the last call since.
+    """
 
+    def __init__(self, tiers: Tiers):
+        self.limits = {t: (int(n), int(w)) for t, (n, w) in tiers.items()}
 
-def throttle_stream(events: DataFrame, tiers: Tiers = TIERS) -> DataFrame:
-    """The same verdicts over a stream, state kept per (caller, tier).
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", _STATE_SCHEMA)
 
-    Within a micro-batch events of a caller count in time order; an event older
-    than the state refills nothing. Bound the micro-batch at the source
-    (``maxFilesPerTrigger`` and the like): it bounds the rows held per caller.
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        caller, tier = key
+        limit, window = self.limits[tier]
+        # Seventeen bytes a call; a micro-batch comes in no order.
+        parts = [(r["ms"].to_numpy(np.int64), r["event_id"].to_numpy(np.int64), r["give"].to_numpy(bool)) for r in rows]
+        ms, event_id, give = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((event_id, ms))
+        stored = self.bucket.get() if self.bucket.exists() else (float(limit), int(ms[order[0]]), 0, int(ms[order[0]]), False)
+        state, last, timer = list(stored[:3]), max(int(stored[3]), int(ms[order[-1]])), bool(stored[4])
+        for start in range(0, len(order), ANSWERS):
+            out = []
+            for k in order[start : start + ANSWERS].tolist():
+                now, gives = int(ms[k]), bool(give[k])
+                change = _arrive(state, now, int(not gives), gives, limit, window)
+                ok = gives or (change is not None and change[2] == 1)
+                out.append((int(event_id[k]), caller, tier, now, "give" if gives else "take", ok, state[0], state[2]))
+            yield pd.DataFrame(out, columns=["event_id", "caller", "tier", "ms", "op", "ok", "tokens", "locked"])
+        if not timer:
+            self.handle.registerTimer(last + window)
+        self.bucket.update((*state, last, True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, window = self.limits[key[1]]
+        if self.bucket.exists():
+            *state, last, _ = self.bucket.get()
+            if last + window > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(last + window)
+            else:
+                self.bucket.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(events: DataFrame, tiers: Tiers = TIERS, delay: str = "1 minute") -> DataFrame:
+    """The same verdicts over a stream, state kept per (caller, tier) until it is idle for a window.
+
+    Within a micro-batch events of a caller count in time order; an event older than the
+    state refills nothing. Events may be late by ``delay`` before buckets are given up
+    that they belong to; later ones are answered too, by a full bucket if theirs is gone.
+    A give to a bucket that is gone finds it full. Bound the micro-batch at the source
+    (``maxFilesPerTrigger`` and the like): it bounds the calls held per caller.
     """
     c = F.col
+    spark = events.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STATE_STORE:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     limit = _tier_column(c("tier"), tiers, 0)
     window = _tier_column(c("tier"), tiers, 1)
-    log = events.select(
+    # Timers follow the watermark; the log goes on without its time stamp, so that no late event is dropped.
+    log = events.withWatermark("ts", delay).select(
         "event_id", "caller", "tier", F.unix_millis(c("ts")).alias("ms"),
-        F.when(c("op") == "give", "give").otherwise("take").alias("op"),
+        F.coalesce(c("op") == "give", F.lit(False)).alias("give"),
     ).filter(limit.isNotNull())
-    stepped = log.groupBy(*CALLER).applyInPandasWithState(
-        _step(tiers), _STEP_SCHEMA, "tokens double, refilled long, locked long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+    stepped = log.groupBy(*CALLER).transformWithStateInPandas(
+        Bucket(tiers), _STEP_SCHEMA, "Append", "EventTime")
     return stepped.select(
         "event_id", *CALLER, "ms", "op",
         *_verdict(c("ok"), c("tokens"), c("locked"), c("ms"), limit, window),

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from docketlake.streaming.throttle import DAY_MS, HOUR_MS, TIERS, throttle_stream, throttle_verdicts
 
@@ -102,21 +101,41 @@ def test_random_logs_match_restatement(spark):
     assert verdicts(throttle_verdicts(events(spark, rows))) == restated(rows)
 
 
+def stream(spark, folder, parts, name):
+    """Answers to parts of a log that arrive as one file each, and the buckets left in the state."""
+    source, checkpoint = str(folder / "log"), str(folder / "checkpoint")
+    for part in parts:
+        events(spark, part).coalesce(1).write.mode("append").parquet(source)
+        log = spark.readStream.schema(events(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = (
+            throttle_stream(log).writeStream.format("parquet").option("path", str(folder / "out"))
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(120)
+    left = spark.read.format("statestore").option("stateVarName", "bucket").load(checkpoint)
+    return verdicts(spark.read.parquet(str(folder / "out"))), sorted(r["key"]["caller"] for r in left.collect())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = mixed(seed=9, n=400)
-    df = events(spark, rows)
-    half = len(rows) // 2
-    source = str(tmp_path / "log")
-    for part in (df.filter(F.col("event_id") < half), df.filter(F.col("event_id") >= half)):
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = (
-        throttle_stream(stream).writeStream.format("memory").queryName("verdicts")
-        .option("checkpointLocation", str(tmp_path / "ckpt")).outputMode("append")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination(120)
-    assert verdicts(spark.table("verdicts")) == restated(rows)
+    got, left = stream(spark, tmp_path, (rows[:200], rows[200:]), "mixed")
+    assert got == restated(rows) and "hot" in left
+
+
+def test_stream_forgets_idle_buckets(spark, tmp_path):
+    """Calls around a gap of a window: answers as if every bucket were kept, and only busy ones are."""
+    limit, _ = TIERS["anon"]
+    first = [(i, "a", "anon", i, "take") for i in range(limit + 3)] + [(90, "b", "anon", 5, "take")]
+    busy = [(100 + i, "c", "anon", i * HOUR_MS // 2, "take") for i in range(4)]
+    later = [(200, "d", "anon", 4 * HOUR_MS, "take")]
+    back = [(300 + i, "a", "anon", 4 * HOUR_MS + 60_000 + i, "take") for i in range(3)]
+    late = [(400, "b", "anon", HOUR_MS, "take")]  # far behind the watermark, and answered all the same
+    parts = [first + busy[:1], busy[1:], later, [(201, "d", "anon", 4 * HOUR_MS + 1, "take")], back]
+    got, left = stream(spark, tmp_path, parts, "idle")
+    assert got == restated([r for p in parts for r in p])
+    assert left == ["a", "d"]
+    got, left = stream(spark, tmp_path, [late], "late")
+    assert got[400][0] and left == ["a", "d"]  # answered, and given up by the timer at once
 
 
 def test_pieces_after_idle_windows(spark):
