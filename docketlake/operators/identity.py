@@ -55,6 +55,9 @@ def name_id_map(votes: DataFrame) -> DataFrame:
 def resolve(filings: DataFrame, id_map: DataFrame) -> DataFrame:
     """Add ``key`` to frames that carry ``nm`` and ``ein``; nameless rows drop.
 
+    A filing with its own identifier is keyed where it lies: only those without one
+    meet the map, in a second scan of the frame, which should be stored therefore.
+
     No hint: the measured size of the map decides between a broadcast and a
     shuffle, and in a shuffle the adaptive skew rule splits the filings of a
     dominating name (the map has one row per name, so only the left side is hot).
@@ -62,9 +65,38 @@ def resolve(filings: DataFrame, id_map: DataFrame) -> DataFrame:
     straight from an aggregation.
     """
     named = filings.filter(F.col("nm").isNotNull())
-    return named.join(id_map, "nm", "left").withColumn(
-        "key", nz.entity_key(F.col("ein"), F.col("mapped"), F.col("nm"))
-    ).drop("mapped")
+    own = named.filter(F.col("ein").isNotNull()).withColumn("key", F.col("ein"))
+    return own.unionByName(_keyed(named.filter(F.col("ein").isNull()), id_map, "mapped", "key"))
+
+
+def _keyed(idless: DataFrame, by_name: DataFrame, mapped: str, key: str) -> DataFrame:
+    """Filings without an identifier, keyed by what their name maps to, or by its hash."""
+    joined = idless.join(by_name.select("nm", mapped), "nm", "left")
+    return joined.withColumn(key, nz.entity_key(F.col("ein"), F.col(mapped), F.col("nm"))).drop(mapped)
+
+
+def map_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(nm, was, mapped): names whose identifier differs between two maps (nm, mapped).
+
+    New names, lost names and flipped votes; NULL where a name has no identifier.
+    """
+    both = old.withColumnRenamed("mapped", "was").join(new, "nm", "full_outer")
+    return both.filter(~F.col("was").eqNullSafe(F.col("mapped"))).select("nm", "was", "mapped")
+
+
+def rekeyed(filings: DataFrame, changes: DataFrame) -> DataFrame:
+    """The filings that a refresh of the map moves, with their ``old_key`` and ``key``.
+
+    Only filings without an identifier whose name is among ``changes`` (``map_changes``)
+    are read into the result; all others keep their key. What was summed under
+    ``old_key`` has to be taken back and summed under ``key``.
+    """
+    idless = filings.filter(F.col("nm").isNotNull() & F.col("ein").isNull())
+    moved = idless.join(changes, "nm")
+    return moved.withColumns({
+        "old_key": nz.entity_key(F.col("ein"), F.col("was"), F.col("nm")),
+        "key": nz.entity_key(F.col("ein"), F.col("mapped"), F.col("nm")),
+    }).drop("was", "mapped")
 
 
 def latest_per_key(

@@ -41,12 +41,13 @@ def rebuild(
     """Declare the whole rebuild.
 
     Without ``cut`` everything stays lazy. With it (``session.materialize``) the
-    spellings, the identity map and the staging tables are written once and read
-    by every aggregate, which is how a large build should run: the filings are
-    read twice, once for two of their columns and the date, once for staging.
+    normalized filings, the spellings, the identity map and the staging tables are
+    written once and read by every aggregate, which is how a large build should run:
+    raw files are parsed once, and filings with an identifier are never shuffled by name.
     """
     keep = cut or (lambda df, name: df)
     norm = staging.normalize(raw)
+    norm = Normalized(keep(norm.lca, "filings"), keep(norm.pwd, "determinations"), keep(norm.perm, "certifications"))
     written = keep(identity.spellings(*norm.all()), "spellings")
     id_map = keep(identity.name_id_map(identity.votes_of(written)), "name-id-map")
     staged = staging.stage(norm, written, id_map)

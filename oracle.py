@@ -632,6 +632,13 @@ FINALS = {
         FROM region""",
     "gates": f"""SELECT name, value, CASE rule WHEN 'true' THEN true WHEN 'value >= 1' THEN value >= 1 ELSE value = 0 END
         AS ok FROM ({_GATES})""",
+    "gates_closed": f"""SELECT name, value, CASE WHEN name = 'employers' THEN value BETWEEN 50 AND 1000000000
+          WHEN name = 'jobs' THEN value BETWEEN 1 AND 10 WHEN name = 'job_titles' THEN value BETWEEN 1000000000 AND 10000000000
+          WHEN name = 'wage_benchmarks' THEN value BETWEEN 1 AND 1000000000 WHEN name = 'gc_evidence' THEN value >= 1000000000
+          WHEN name = 'jobs_years' THEN value >= 3 WHEN name = 'named_cell' THEN value = 1
+          WHEN rule = 'true' THEN true ELSE value = 0 END AS ok
+        FROM ({_GATES} UNION ALL {_gate("named_cell", """SELECT count(*) FROM bench WHERE soc_code = '15-1252'
+          AND level = 'II' AND year = 1998 AND scope = 'national' AND p25 < p50 AND p50 < p75""")})""",
     "top_entities": """SELECT p.key, CAST(n_lca AS BIGINT) AS profile_n, raw_n, n_lca = raw_n AS ok FROM (
         SELECT key, n_lca FROM profile ORDER BY n_lca DESC, key LIMIT 3) p
         JOIN (SELECT key, count(*) AS raw_n FROM lca_n GROUP BY key) r ON p.key = r.key""",

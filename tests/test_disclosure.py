@@ -175,6 +175,20 @@ def test_gates(spark, filed):
         "personal_id_published", "personal_id_in_key", "employer_key_repeated"))
 
 
+def test_gates_counted_during_the_write(spark, filed, tmp_path):
+    _, _, _, build = filed
+    limits = gates.GateLimits(bounds={"jobs": (10**6, 10**7)}, gc_floor=1, cell=("15-1252", "II", 2024))
+    watched = gates.watch(build.tables, limits)
+    store.write_tables(watched.tables, str(tmp_path / "watched"), "1")
+    saved = store.read_tables(spark, str(tmp_path / "watched"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    counted = watched.gates(spark).unionByName(gates.structural_gates(saved, limits, build.normalized.lca, build.id_map))
+    assert rows(counted) == rows(gates.gates(saved, limits, build.normalized.lca, build.id_map))
+    assert ("jobs", saved.jobs.count(), False) in rows(counted)
+    plan = watched.gates(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Exchange" not in plan
+
+
 def test_identifier_audit(filed):
     got = {r["candidate"]: r for r in gates.identifier_audit(
         filed[3].normalized.lca, "ein", ["nm", "county"]).collect()}
