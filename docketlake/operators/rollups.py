@@ -124,10 +124,10 @@ def tiered_benchmarks(
     from a rolled-up one by ``depth``; rows whose own tier is NULL drop, and the
     finest tier keeps cells of at least ``min_cell`` rows.
 
-    Percentiles and distinct counts take separate ways: a histogram, and
-    deduplicated (cell, entity) pairs. Both reduce at the finest grain before
-    the tiers multiply rows. ``cut`` (e.g. ``materialize``) lets the two reads
-    of the histogram share one computation.
+    Percentiles and distinct counts take separate ways: a histogram, and the places of
+    each entity (``tiered_entities``). Both reduce at the finest grain before the tiers
+    multiply rows. ``cut`` (e.g. ``materialize``) lets the two reads of the histogram
+    share one computation.
     """
     fixed, tiers = list(fixed), list(tiers)
     fine = value_counts(
@@ -162,11 +162,7 @@ def tiered_benchmarks(
         },
     ).filter(keep)
 
-    pairs = rows.select(*fixed, *tiers, entity).distinct()
-    entities = _tiered(
-        pairs, fixed, tiers, [], [F.countDistinct(entity).alias("employer_count")]
-    )
-
+    entities = tiered_entities(rows, fixed, tiers, entity, "employer_count")
     keys = [*fixed, *tiers, "depth"]
     return join_null_safe(stats, entities, keys).select(
         *keys,
@@ -179,6 +175,33 @@ def tiered_benchmarks(
     )
 
 
+def tiered_entities(
+    rows: DataFrame, fixed: Sequence[str], tiers: Sequence[str], entity: str, name: str
+) -> DataFrame:
+    """(fixed, tiers, depth, name): how many entities each cell of each tier has, exactly.
+
+    Entities are moved once, by (fixed, entity), with the distinct places of each. All its
+    cells then lie in one row, so every tier deduplicates there, and only cells and
+    counts are moved on. A list is as long as the places one entity files from in one
+    fixed cell. (A bitmap a cell would hold 4 KB for each of its blocks of entities, while
+    most cells have a handful of them.)
+    """
+    fixed, tiers = list(fixed), list(tiers)
+    placed = rows.groupBy(*fixed, entity).agg(
+        F.collect_set(F.struct(*tiers)).alias("_places"))
+
+    def tier(depth: int) -> Column:
+        """The distinct cells of one tier among an entity's places; deeper tiers are NULL."""
+        def cut(place: Column) -> Column:
+            known = [place[t] for t in tiers[:depth]]
+            deeper = [F.lit(None).cast(rows.schema[t].dataType) for t in tiers[depth:]]
+            return F.struct(F.lit(depth).alias("depth"), *[c.alias(t) for c, t in zip([*known, *deeper], tiers)])
+        return F.array_distinct(F.transform("_places", cut))
+
+    cells = F.flatten(F.array(*[tier(d) for d in range(len(tiers) + 1)]))
+    return placed.select(*fixed, entity, F.inline(cells)).groupBy(*fixed, *tiers, "depth").agg(F.count(entity).alias(name))
+
+
 def wage_benchmarks(
     lca: DataFrame, min_cell: int = MIN_CELL, cut: Callable | None = None
 ) -> DataFrame:
