@@ -162,7 +162,62 @@ def test_vector_links_against_brute_force(spark, part, monkeypatch):
     assert got["n_links"].sum() >= 0.99 * (near.sum() - len(x))
     assert (got["n_links"].to_numpy() <= near.sum(1) - 1).all()
     assert (got["component_id"].to_numpy() == ids[root]).mean() > 0.99
-    assert vector_graph.recall(rows, found, F.col("id") % 2 == 0) >= 0.9 or part < 4096
+    assert vector_graph.recall(rows, found, F.col("id") % 2 == 0) >= 0.99
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """6,750 vectors in dense groups, along curves, and alone; the exact links of all."""
+    rng = np.random.default_rng(11)
+    parts = [rng.normal(size=(1750, 64))]
+    for _ in range(60):  # groups about as wide as the threshold
+        parts.append(rng.normal(size=64) + rng.normal(size=(50, 64)) * rng.uniform(0.1, 0.3))
+    for _ in range(5):  # curves of neighbours: few dimensions, across many borders
+        a, b, c = rng.normal(size=(3, 64))
+        t = np.sort(rng.uniform(0, 3, 400))[:, None]
+        parts.append(np.cos(t) * a + np.sin(t) * b + np.sin(2.3 * t) * c)
+    x = np.concatenate(parts).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    return table.cache(), near, local_roots(len(x), *np.nonzero(near))
+
+
+@pytest.mark.parametrize("region, split, fit", [(675, 10**6, 16_384), (20, 10**6, 16_384), (10, 10**6, 16_384), (40, 250, 128)])
+def test_recall_at_any_number_of_regions(spark, planted, monkeypatch, region, split, fit):
+    """10, 340 and 675 regions, and 32 that are divided again."""
+    table, near, root = planted
+    monkeypatch.setattr(vector_graph, "REGION_ROWS", region)
+    monkeypatch.setattr(vector_graph, "SPLIT_ROWS", split)
+    monkeypatch.setattr(vector_graph, "FIT_ROWS", fit)
+    got = vector_graph.near_duplicates(table).toPandas().sort_values("vec_id")
+    links = near.sum(1) - 1
+    assert links.sum() > 200_000
+    assert (got["n_links"].to_numpy() <= links).all()
+    assert got["n_links"].sum() >= 0.99 * links.sum()
+    assert (got["component_id"].to_numpy() == root).mean() > 0.999
+
+
+def test_the_whole_margin_loses_no_link(planted):
+    """Every linked pair shares a region, however many there are."""
+    table, near, _ = planted
+    x = np.stack(table.toPandas().sort_values("vec_id")["embedding"].to_numpy())
+    a, b = np.nonzero(near)
+    for rows in (675, 20, 5):
+        centroids = vector_graph.cluster(x / np.linalg.norm(x, axis=1, keepdims=True), len(x) // rows)
+        row, region = vector_graph.bordering(x, centroids, vector_graph.chord(0.95))
+        member = np.zeros((len(x), len(centroids)), bool)
+        member[row, region] = True
+        assert all((member[a[k : k + 50_000]] & member[b[k : k + 50_000]]).any(1).all() for k in range(0, len(a), 50_000))
+
+
+def test_low_recall_takes_the_whole_margin(spark, planted, monkeypatch):
+    table, near, _ = planted
+    monkeypatch.setattr(vector_graph, "REGION_ROWS", 10)
+    asked = []
+    monkeypatch.setattr(vector_graph, "recall", lambda *a: asked.append(a) or 0.5)
+    got = vector_graph.near_duplicates(table, margin=0.0)
+    assert asked and got.agg(F.sum("n_links")).head()[0] >= 0.995 * (near.sum() - len(near))
 
 
 def plain_top(rows, k):
@@ -196,3 +251,19 @@ def test_top_k_prunes_but_stays_exact(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(table, F.col("vec_id") % 50 == 0)
     assert sorted(tuple(r) for r in got.collect()) == plain_top(rows, 5)
+
+
+def test_sql_on_a_table_with_links(spark, planted, tmp_path, monkeypatch):
+    """The registered SQL of op6 on vectors that have links, unlike those of the small tables."""
+    import duckdb
+
+    from docketlake.llm.queries import ORACLE_SQL, op6_vector_graph
+
+    monkeypatch.setattr(vector_graph, "REGION_ROWS", 60)
+    some = planted[0].filter("vec_id % 5 = 0 OR vec_id BETWEEN 1750 AND 2100")
+    some.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({ORACLE_SQL['op6_vector_graph']})").fetchall())
+    got = sorted(tuple(r) for r in op6_vector_graph(spark, str(tmp_path)).collect())
+    assert sum(r[1] for r in want) > 4000 and got == want
