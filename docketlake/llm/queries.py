@@ -157,12 +157,21 @@ def _license_sql() -> str:
         return "'" + text.replace("'", "''") + "'"
 
     def ids(ends: str) -> str:
-        split = f"string_split(regexp_replace(coalesce(text, ''), {quoted(ends)}, chr(1), 'g'), chr(1))"
-        near = f"list_filter({split}, lambda s: length(s) BETWEEN {licenses.SHORTEST} AND {licenses.SPARE})"
-        clean = f"list_transform({near}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
-        return f"list_transform(list_filter({clean}, lambda s: list_contains(map_keys(known), s)), lambda s: known[s])"
-
-    pairs = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licenses.SENTENCES.items())
+        """The known sentences of one way of reading, as structs (at, id)."""
+        split = f"string_split(regexp_replace(coalesce(text, ''), {quoted(ends)}, chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+        size = "length(regexp_replace(lower(s), '[^a-z0-9]+', '', 'g'))"
+        later = "regexp_replace(lower(s), '([0-9])[+]', '\\1 or later ', 'g')"
+        plain = f"trim(regexp_replace({later}, '[^a-z0-9]+', ' ', 'g'))"
+        begins, goes_on, no = map(quoted, (licenses.BEGINS, licenses.GOES_ON, licenses.NO_NOTICE))
+        clean = (f"CASE WHEN regexp_matches({plain}, {begins}) AND NOT regexp_matches({plain}, {no}) THEN "
+                 f"regexp_replace(regexp_replace({plain}, {begins}, 'notice '), {goes_on}, '') ELSE {plain} END")
+        near = f"length(s) BETWEEN {licenses.SHORTEST} AND {licenses.SPARE}"
+        sizes = f"list_transform({split}, lambda s: {size})"
+        found = f"list_transform({split}, lambda s: CASE WHEN {near} THEN known[{clean}] END)"
+        pairs = (f"list_transform({found}, lambda x, n: {{'at': list_sum(list_slice({sizes}, 1, n))::BIGINT, 'id': x}})")
+        return f"list_filter({pairs}, lambda p: p.id IS NOT NULL)"
+
+    pairs = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licenses.KNOWN.items())
     steps = []
     for k, (run, licence) in enumerate(licenses.RULES, 1):
         mark = quoted("|" + "||".join(run) + "|")
@@ -172,8 +181,10 @@ def _license_sql() -> str:
     return f"""
         WITH k AS (SELECT MAP {{{pairs}}} AS known), i AS (
             SELECT doc_id, {ids(licenses.LINE_ENDS)} AS a, {ids(licenses.SENTENCE_ENDS)} AS b FROM documents, k
+            WHERE regexp_matches(text, {quoted(licenses.TELLING)})
+            UNION ALL SELECT doc_id, [], [] FROM documents WHERE NOT coalesce(regexp_matches(text, {quoted(licenses.TELLING)}), false)
         ), j AS (
-            SELECT doc_id, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS sentences FROM i
+            SELECT doc_id, list_transform(list_sort(list_distinct(list_concat(a, b))), lambda p: p.id) AS sentences FROM i
         ), s0 AS (
             SELECT doc_id, sentences, '|' || array_to_string(sentences, '||') || '|' AS rest, []::VARCHAR[] AS hits FROM j
         ), {", ".join(steps)}, u AS (

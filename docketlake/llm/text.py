@@ -28,6 +28,14 @@ def fold(key: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
+def add_free(docs: DataFrame, column: Column) -> tuple[DataFrame, str]:
+    """``docs`` with a column under a name that it does not have yet, and that name."""
+    name = "_p"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, column), name
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live for many tasks, and share an executor's limit."""
     pa.default_memory_pool().release_unused()

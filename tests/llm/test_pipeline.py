@@ -10,6 +10,7 @@ from tests.llm.test_pairs import plain_fingerprint, roots_of
 
 SF = "/root/testdata/sf0.001"
 
+# Public licence texts, as input of the scan.
 MIT = """Some tool, by somebody.
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -41,10 +42,55 @@ CASES = [
 
 
 def test_licences(spark):
-    docs = spark.createDataFrame([(i, t, "x") for i, (t, *_) in enumerate(CASES)], "doc_id long, text string, licences string")
+    docs = spark.createDataFrame(
+        [(i, t, "x", "y") for i, (t, *_) in enumerate(CASES)], "doc_id long, text string, licences string, _p string")
     rows = {r["doc_id"]: r["_scan"] for r in licenses.scan(docs).collect()}
     assert {i: (r["sentences"], r["licences"]) for i, r in rows.items()} == {i: tuple(c[1:]) for i, c in enumerate(CASES)}
     assert licenses.scan(docs.limit(0)).count() == 0
+    assert licenses.scan(docs).columns == [*docs.columns, "_scan"]
+    with pytest.raises(ValueError, match="column _scan"):
+        licenses.scan(docs.withColumnRenamed("_p", "_scan"))
+
+
+NOTICES = [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+    ("MIT License\n\nCopyright (c) 2020 Foo", "MIT"), ("The MIT License (MIT)\nCopyright (c) 2020 Foo", "MIT"),
+    ("Code licensed under the Apache License 2.0.", "Apache-2.0"), ("You may use it under the Apache-2.0 license.", None),
+    ("It is available under the Apache-2.0 license.", "Apache-2.0"), ("under the Apache-2.0 license", "Apache-2.0"),
+    ("License: GPLv3", "GPL-3.0-only"), ("License: GPLv3+", "GPL-3.0-or-later"), ("Licence: BSD-3-Clause", "BSD-3-Clause"),
+    ("Released under the terms of the MIT License.", "MIT"), ("Distributed under the MIT license.", "MIT"),
+    ("This project is licensed under the MIT License - see the LICENSE.md file for details.", "MIT"),
+    ("This project is licensed under the\nMIT License - see the LICENSE file\nfor details.", "MIT"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n"
+     "                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0-only"), ("Published under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with"
+     " the License.", "Apache-2.0"), ("This work is licensed under a permissive license.", None),
+    ("Released under the Boost Software License 1.0", "BSL-1.0"), ("The code is not licensed under the MIT License.", None),
+    ("Released under the GNU Lesser General Public License v2.1 or later.", "LGPL-2.1-or-later"),
+]
+
+
+def test_notices(spark):
+    got = [licences for _, licences in scanned(spark, [t for t, _ in NOTICES])]
+    assert got == [[name] if name else [] for _, name in NOTICES]
+
+
+def test_sql_reads_alike(spark, tmp_path):
+    """The registered SQL on notices, headers plain and commented, and texts partly wrapped."""
+    import duckdb
+
+    from docketlake.llm.queries import ORACLE_SQL, op7_license_scan
+
+    texts = [t for t, *_ in CASES] + [t for t, _ in NOTICES] + [commented(t, *m) for t in (MIT, GPL, BSD + THIRD)
+                                                                for m in (("/*", " *", " */"), ("", "#", ""))]
+    texts += [" ".join(MIT.split()), MIT + GPL + BSD, "word " * 30000 + "\nReleased under the MIT License."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, sentences, licences FROM ({ORACLE_SQL['op7_license_scan']}) ORDER BY doc_id").fetchall()
+    assert sorted(tuple(r) for r in op7_license_scan(spark, str(tmp_path)).collect()) == want
 
 
 GPL = """This program is free software: you can redistribute it and/or modify
@@ -125,7 +171,11 @@ def test_every_known_sentence_is_looked_up():
     import re
 
     assert all(re.search(licenses.TELLING, s) for s in licenses.SENTENCES)
-    assert {i for run, _ in licenses.RULES for i in run} <= set(licenses.SENTENCES.values())
+    names = [n for some in licenses.NAMES.values() for n in some]
+    assert all(re.search(licenses.TELLING, f"under {n}") for n in names if n != "unlicense")
+    assert not any(re.search(licenses.GOES_ON, f" {n}") for n in names)
+    assert {i for run, _ in licenses.RULES for i in run} <= set(licenses.KNOWN.values())
+    assert set(licenses.KNOWN.values()) <= {i for run, _ in licenses.RULES for i in run} | {"gpl-details", "lgpl-details", "agpl-details"}
 
 
 def test_partly_wrapped_texts_keep_their_order(spark):
