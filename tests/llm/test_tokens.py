@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import os
+import unicodedata
 import zlib
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,6 +50,31 @@ def test_any_text_as_the_library(library, own, text):
     assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_as_the_library(library, own):
+    """All of Unicode: between letters, before and behind marks of several classes, and after each other."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = [f"a{c}b {c}{c} a{c}" for c in points]
+    texts += [f"{x}{m}{c}x {x}{c}{m}x" for c in marks for m in "\u0301\u0316\u0334\u0345\u1dfa" for x in "ae"]
+    texts += ["\U00011935\U00011930", "\U00011938", "a\u1abf\u0301\u0316"]
+    for start in range(0, len(texts), 20_000):
+        part = texts[start : start + 20_000]
+        ids, ends = own.encode(pa.array(part))
+        want = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
+def test_any_unassigned_text_as_the_library(library, own, text):
+    assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_text(library, own):
+    text = "Längere Wörter 123 und ein sehr " * 30_000 + "x" * 100_000
+    assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @given(st.text(alphabet="abeinrst", min_size=1, max_size=60))
 def test_heap_and_scan_agree(own, word):
     raw = np.frombuffer(word.encode(), np.uint8)
