@@ -13,6 +13,12 @@ no size bound, and must not go through the driver.
 A task turns the links it finds into a spanning forest, so a group of n
 fingerprints never becomes n * n rows.
 
+``near_copies`` removes near copies by text: fingerprints of single words (of which near
+copies differ in few bits) within ``WIDE`` bits give candidates, each text's nearest ones
+in each tree, and a candidate counts if the sets of five-word shingles have a Jaccard
+similarity of ``SIMILARITY`` or more. So it drops no text that is unlike all others, and what
+it misses are near copies whose fingerprints lie further apart.
+
 Null texts are empty. A text without words has fingerprint zero and links like
 any other. Null identifiers take part and never are the smallest one unless all
 of a group are null.
@@ -20,7 +26,7 @@ of a group are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +44,9 @@ BLOCKS = 6
 SHARD_ROWS = 8192
 SHINGLE = 4
 SEED = 42
+#: Near copies by text: bits and blocks for single-word fingerprints, nearest candidates of a text
+#: in a tree, words of a shingle, and how alike two sets of them are.
+WIDE, WIDE_BLOCKS, NEAREST, WORDS, SIMILARITY = 5, 7, 2, 5, 0.8
 #: Pairs of query and node that a task holds at a time.
 FRONTIER = 2_000_000
 
@@ -45,29 +54,29 @@ FRONTIER = 2_000_000
 # --- fingerprints --------------------------------------------------------------
 
 
-def simhash(text: bytes) -> int:
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of a text in UTF-8, as an unsigned number."""
     words = text.lower().split()  # bytes: A-Z and the six ASCII white-space characters
     if not words:
         return 0
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     digest, join, ones = xxhash.xxh64_intdigest, b" ".join, np.zeros(64, np.int64)
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     for at in range(0, n, 1 << 16):
-        run = words[at : at + (1 << 16) + SHINGLE - 1]
-        hashes = [digest(join(s), SEED) for s in zip(*[run[k:] for k in range(SHINGLE)])]
+        run = words[at : at + (1 << 16) + shingle - 1]
+        hashes = [digest(join(s), SEED) for s in zip(*[run[k:] for k in range(shingle)])]
         octets = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprint(text: str | Column) -> Column:
+def fingerprint(text: str | Column, shingle: int = SHINGLE) -> Column:
     """A text column's fingerprints, as signed longs of the same bits."""
     @F.arrow_udf("long")
     def bits(texts: pa.Array) -> pa.Array:
         rows = pc.fill_null(texts, "").cast(pa.binary())
-        return pa.array(np.array([simhash(row.as_py()) for row in rows], np.uint64).view(np.int64))
+        return pa.array(np.array([simhash(row.as_py(), shingle) for row in rows], np.uint64).view(np.int64))
     return bits(text)
 
 
@@ -138,15 +147,14 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (q, q)
 
 
-def forest_edges(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within whole cells, as index pairs."""
+def _found(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: int):
+    """The links within whole cells in slices, as index pairs (query, node)."""
     cell = np.unique(cell, return_inverse=True)[1]
     sizes = np.bincount(cell)
     own = np.bincount(cell, query == 0, len(sizes)).astype(np.int64)
     use = np.flatnonzero((sizes[cell] > 1) & (own[cell] > 0))
-    none = np.zeros(0, np.int64)
     if not len(use):
-        return none, none
+        return
     order = use[np.lexsort((fp[use], query[use], cell[use]))]
     cell, bits, query = np.unique(cell[order], return_inverse=True)[1], fp[order].view(np.uint64), query[order]
     tree = np.flatnonzero(~query)
@@ -155,25 +163,48 @@ def forest_edges(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: in
     mixed = np.bincount(cell, query) > 0
     asks = np.flatnonzero(query | ~mixed[cell])
     work = np.cumsum(np.bincount(cell[tree], minlength=cell[-1] + 1)[cell[asks]])
-    root, start = np.arange(len(order)), 0
+    start = 0
     while start < len(asks):
         stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + FRONTIER)))
         part = asks[start:stop]
         q, node = forest.links(bits[part], cell[part], radius)
-        roots = local_roots(len(order), root[part[q]], root[tree[node]])
-        root, start = roots[root], stop
-    moved = np.flatnonzero(root != np.arange(len(order)))
-    return order[moved], order[root[moved]]
+        yield order[part[q]], order[tree[node]]
+        start = stop
+
+
+def forest_edges(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within whole cells, as index pairs."""
+    root = np.arange(len(fp))
+    for a, b in _found(cell, fp, query, radius):
+        root = local_roots(len(fp), root[a], root[b])[root]
+    moved = np.flatnonzero(root != np.arange(len(fp)))
+    return moved, root[moved]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, limit: int = SHARD_ROWS) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (a, b) that span all links within the radius."""
+def nearest_edges(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query's links within whole cells the ``NEAREST`` nearest, the smaller fingerprint of equals."""
+    none = np.zeros(0, np.int64)
+    kept = [(none, none)]
+    for a, b in _found(cell, fp, query, radius):
+        other = fp[a] != fp[b]
+        a, b = a[other], b[other]
+        far = np.bitwise_count(fp[a].view(np.uint64) ^ fp[b].view(np.uint64))
+        order = np.lexsort((fp[b], far, a))
+        a, b = a[order], b[order]
+        near = np.arange(len(a)) - np.searchsorted(a, a) < NEAREST
+        kept.append((a[near], b[near]))
+    return tuple(np.concatenate(x) for x in zip(*kept))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, limit: int = SHARD_ROWS,
+          edges: Callable = forest_edges) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (a, b): by default such that span all links within the radius."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 1 << 18):
             fp = table["fp"].to_numpy()
-            a, b = forest_edges(table["cell"].to_numpy(), fp, table["query"].to_numpy(), radius)
+            a, b = edges(table["cell"].to_numpy(), fp, table["query"].to_numpy(), radius)
             yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], schema=kind)
 
     spread = cells(fps, radius, blocks, limit).repartition("cell").sortWithinPartitions("cell")
@@ -226,7 +257,11 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     The one with the smallest doc_id stays, null identifiers last; of several texts
     under that identifier one by hash, of repeated rows one.
     """
-    found = materialize(groups(docs, radius), "groups")
+    return one_of_each(docs, materialize(groups(docs, radius), "groups"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay; ``found`` has the root of each row's group (doc_id, text_hash, root)."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(rank).alias("r")).select(
         F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash")).distinct()
@@ -241,3 +276,65 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     once = kept.join(repeated, match(repeated), "left_anti")
     several = kept.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(several)
+
+
+# --- near copies by text ---------------------------------------------------------
+
+
+def shingles(text: str | Column) -> Column:
+    """A text column's distinct ``WORDS``-word shingles, as hashes; of fewer words, the whole sequence."""
+    @F.arrow_udf("array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        out = []
+        for row in pc.fill_null(texts, "").cast(pa.binary()):
+            words, digest = row.as_py().lower().split(), xxhash.xxh64_intdigest
+            n = max(len(words) - WORDS + 1, min(len(words), 1))
+            hashes = (digest(b" ".join(words[k : k + WORDS]), SEED) for k in range(n))
+            out.append(np.unique(np.fromiter(hashes, np.uint64, n)).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+    return sets(text)
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) without all but one of each group of near copies.
+
+    Texts are near copies if their shingles have at least that Jaccard similarity and
+    their fingerprints were candidates; groups are what such links connect. Which one stays
+    follows the rule of ``deduplicated``.
+    """
+    text = F.coalesce("text", F.lit(""))
+    digest = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(1), text).alias("second")]
+    rows = materialize(docs.select("doc_id", *digest, fingerprint(F.col("text"), 1).alias("fp")), "word-fingerprints")
+    texts = rows.groupBy("text_hash", "second", "fp").agg(F.min("doc_id").alias("first"))
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    pairs = materialize(_candidates(texts), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = texts.join(asked, "node", "left_semi").select("node", "first", "text_hash", "second")
+    # One document of each text; its copies hold the same.
+    held = docs.select("doc_id", "text", *digest).join(some, ["text_hash", "second"]).filter(
+        F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
+    sets = materialize(held.select("node", shingles("text").alias("set")).withColumn("n", F.size("set")), "shingles")
+    met = pairs
+    for side in "ab":
+        met = met.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")), side)
+    possible = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = both >= similarity * (F.col("n_a") + F.col("n_b") - both)
+    found = materialize(met.filter(possible).filter(alike).select("a", "b"), "near-copies")
+    roots = materialize(components(found), "roots")
+    named = texts.join(roots, "node", "left").select("text_hash", "second", F.coalesce("root", "node").alias("root"))
+    whole = rows.join(materialize(named, "named"), ["text_hash", "second"]).select("doc_id", "text_hash", "root")
+    return one_of_each(docs, materialize(whole, "groups"))
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (node, fp) to compare: each text with the first text of its own
+    fingerprint and of those that are near."""
+    first = materialize(texts.groupBy("fp").agg(F.min("node").alias("b")), "first-texts")
+    near = links(first.select("fp"), WIDE, WIDE_BLOCKS, edges=nearest_edges)
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = materialize(near.select(F.col("a").alias("fp"), F.col("b").alias("other")), "near-fingerprints")
+    others = near.join(first.withColumnRenamed("fp", "other"), "other").select("fp", "b").unionByName(first.select("fp", "b"))
+    pairs = texts.select(F.col("node").alias("a"), "fp").join(materialize(others, "near-texts"), "fp")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return pairs.filter(F.col("a") != F.col("b")).select(low, high).distinct()

@@ -1,12 +1,14 @@
 """Licence scans, and the pipeline's stages against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docketlake.llm import licenses
-from tests.llm.test_pairs import plain_fingerprint, roots_of
+from docketlake.llm import licenses, simhash
+from docketlake.llm.components import local_roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -168,8 +170,6 @@ def test_common_licences_have_their_names(spark):
 
 
 def test_every_known_sentence_is_looked_up():
-    import re
-
     assert all(re.search(licenses.TELLING, s) for s in licenses.SENTENCES)
     names = [n for some in licenses.NAMES.values() for n in some]
     assert all(re.search(licenses.TELLING, f"under {n}") for n in names if n != "unlicense")
@@ -210,18 +210,67 @@ def test_stages(spark):
         assert 0 < kept.count() <= before.count()
         assert kept.join(before, kept.columns, "left_anti").count() == 0
     rows = kept.collect()
-    bits = np.array([plain_fingerprint(r["text"]) for r in rows], np.uint64)
-    assert (roots_of(bits) == np.arange(len(bits))).all()
+    assert not near_pairs([r["text"] for r in rows])
     packed = corpus_pipeline.STAGES[3][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == len(rows)
 
 
-def test_near_duplicate_stage_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def shingled(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def near_pairs(texts):
+    """Index pairs of texts with a five-word Jaccard similarity of 0.8 or more."""
+    sets, by_shingle, seen = [shingled(t) for t in texts], {}, {}
+    for i, some in enumerate(sets):
+        for x in some:
+            for j in by_shingle.setdefault(x, []):
+                seen[j, i] = seen.get((j, i), 0) + 1
+            by_shingle[x].append(i)
+    none = [i for i, some in enumerate(sets) if not some]
+    return [p for p, n in seen.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)] + list(zip(none, none[1:]))
+
+
+def edited(rng, text, share):
+    words = text.split()
+    for k in rng.integers(0, len(words), max(1, int(share * len(words)))):
+        words[k] = f"w{rng.integers(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicate_stage_against_brute_force(spark, sf):
+    """All pairs of similar texts are found in these tables, so one document of each group stays."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
-    root = roots_of(np.array([plain_fingerprint(r["text"]) for r in rows], np.uint64))
+    pairs = near_pairs([r["text"] for r in rows])
+    root = local_roots(len(rows), *(np.array(x, int) for x in zip(*pairs)))
     want = [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
-    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()) == want
+    assert len(want) < len(rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()) == want
+
+
+def test_near_copies_planted_in_documents(spark):
+    """Edited copies go, in pairs and in a crowd; texts that only share most words or a half stay."""
+    rng = np.random.default_rng(9)
+    texts = [t for t in (r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+             if 80 <= len(t.split()) <= 900]
+    chosen = [texts[i] for i in rng.permutation(len(texts))[:150]]
+    chosen = [t for i, t in enumerate(chosen) if not any(p[0] == i or p[1] == i for p in near_pairs(chosen))]
+    rows = list(chosen)
+    rows += [edited(rng, t, 0.015) for t in chosen[:100]] + [edited(rng, chosen[0], 0.01) for _ in range(200)]
+    shuffled = [" ".join(rng.permutation(t.split())) for t in chosen[100:]]  # the same words
+    halves = [" ".join(t.split()[: len(t.split()) // 2] + texts[k].split()) for k, t in enumerate(chosen[100:])]
+    rows += shuffled + halves
+    pairs = near_pairs(rows)
+    root = local_roots(len(rows), *(np.array(x, int) for x in zip(*pairs)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.near_copies(docs).collect()}
+    single = {i for i in range(len(rows)) if (root == root[i]).sum() == 1}
+    assert single <= kept and len(single) > 40
+    extra = [i for i in kept if root[i] != i]
+    assert len(extra) <= 0.05 * len(pairs) and len(extra) <= 0.1 * (root != np.arange(len(rows))).sum()
 
 
 def test_odd_documents_and_clashing_columns(spark):
