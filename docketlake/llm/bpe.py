@@ -72,11 +72,21 @@ def _set(ranges: str) -> str:
 
 _LETTER, _NUMBER = rf"[\p{{L}}--[{_set(NEWER_LETTERS)}]]", rf"[\p{{N}}--[{_set(NEWER_NUMBERS)}]]"
 _OTHER = rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{_set(NEWER_LETTERS + ' ' + NEWER_NUMBERS)}]]"
-#: The word pattern of the vocabulary's file; before it the line feed that ends a chunk here.
-WORD = rf"\n|'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|{_OTHER}+"
+#: The word pattern of the vocabulary's file by the installed tables; before it the line feed that ends a
+#: chunk here. The exact one is slower, and for texts with code points where the tables differ.
+WORD = rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+EXACT = rf"\n|'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|{_OTHER}+"
 LOWERED = {c: c + far for ranges, far in NEWER_CAPITALS.items() for c in members(ranges)} | {0x3A3: 0x3C3}
 
 
+@lru_cache(maxsize=1)
+def differing() -> np.ndarray:
+    """For each code point whether it needs the exact rules."""
+    table = np.zeros(0x110000, bool)
+    table[[*members(NEWER_LETTERS), *members(NEWER_NUMBERS), *members(NEWER_MARKS), *LOWERED]] = True
+    return table
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte."""
     rest = iter(range(256, 512))
@@ -101,9 +111,8 @@ class WordBpe:
         self.keys = keys[self.order]
         self.merged = np.array([m for _, m in pairs], np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.word = regex.compile(WORD, regex.V1)
+        self.word, self.exact = regex.compile(WORD), regex.compile(EXACT, regex.V1)
         self.marks = regex.compile(f"([{_set(NEWER_MARKS)}])")
-        self.capitals = regex.compile(f"[{_set(' '.join([*NEWER_CAPITALS, '3a3']))}]")
         self._forget()
 
     def _forget(self):
@@ -195,14 +204,14 @@ class WordBpe:
 
     def cut(self, chunks: str) -> list[str]:
         """The words of chunks that line feeds end, each chunk's line feed after them."""
-        if not chunks.isascii():
-            if self.marks.search(chunks):  # they stand by themselves
-                chunks = "".join([unicodedata.normalize("NFC", part) for part in self.marks.split(chunks)])
-            else:
-                chunks = unicodedata.normalize("NFC", chunks)
-            if self.capitals.search(chunks):  # a sigma is lowered by character, without the rule for a final one
-                chunks = chunks.translate(LOWERED)
-        return self.word.findall(chunks.lower())
+        if chunks.isascii():
+            return self.word.findall(chunks.lower())
+        codes = np.frombuffer(chunks.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not differing()[codes].any():
+            return self.word.findall(unicodedata.normalize("NFC", chunks).lower())
+        # Newer marks stand by themselves; a sigma is lowered by character, without the rule for a final one.
+        parts = [unicodedata.normalize("NFC", part) for part in self.marks.split(chunks)]
+        return self.exact.findall("".join(parts).translate(LOWERED).lower())
 
     def _learn(self, chunks: pa.Array) -> None:
         """Remember the ids of new chunks."""

@@ -49,6 +49,8 @@ SLICE = 4 << 20
 START, END = np.uint64(1), np.uint64(2)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.zeros(0, np.uint64)
+#: Counts above this take eight bytes each.
+NARROW = (1 << 32) - 1
 
 
 # --- tokens --------------------------------------------------------------------
@@ -77,7 +79,7 @@ def before(numbers: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two word numbers, without collisions below 2**32 words."""
+    """A 64-bit hash of two word numbers, without collisions below 2**32 words (``_words`` sees to that)."""
     x = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) * MIX
     return (x ^ x >> np.uint64(32)) * MIX
 
@@ -106,8 +108,13 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 # --- blocks: sorted keys with counts, compressed for the shuffle -------------------
 
 BLOCK = pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("high", pa.binary()), ("low", pa.binary()),
-                   ("counts", pa.binary())])
-BLOCK_DDL = "shard int, size long, high binary, low binary, counts binary"
+                   ("counts", pa.binary()), ("wide", pa.bool_())])
+BLOCK_DDL = "shard int, size long, high binary, low binary, counts binary, wide boolean"
+
+
+def narrowed(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each where all fit, in eight otherwise."""
+    return counts.astype(np.uint64 if len(counts) and counts.max() > NARROW else np.uint32)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -121,14 +128,16 @@ def unpacked(data: bytes, kind, size: int) -> np.ndarray:
 def block(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
     """Sorted 64-bit keys: the steps of the upper halves, which are small, and the lower halves."""
     high = np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32)
+    counts = narrowed(counts)
     return {"shard": shard, "size": len(keys), "high": packed(high), "low": packed(keys.astype(np.uint32)),
-            "counts": packed(counts.astype(np.uint32))}
+            "counts": packed(counts), "wide": counts.itemsize == 8}
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     high = np.cumsum(unpacked(row["high"], np.uint32, row["size"]), dtype=np.uint64)
     low = unpacked(row["low"], np.uint32, row["size"]).astype(np.uint64)
-    return high << np.uint64(32) | low, unpacked(row["counts"], np.uint32, row["size"]).astype(np.int64)
+    counts = unpacked(row["counts"], np.uint64 if row["wide"] else np.uint32, row["size"])
+    return high << np.uint64(32) | low, counts.astype(np.int64)
 
 
 def blocks(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -222,14 +231,25 @@ class Model:
         return shard_of(np.where(often > self.spread_above, pair_hash(pairs, np.uint64(1)), own), self.shards)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=512)
 def _files(path: str, prefix: str, shard: int, names: tuple) -> list[np.ndarray]:
-    return [mapped(path, f"{prefix}-{shard}.{name}", kind) for name, kind in names]
+    first = mapped(path, f"{prefix}-{shard}.{names[0][0]}", names[0][1])
+
+    def wide(name: str) -> type:
+        size = os.path.getsize(os.path.join(path, f"{prefix}-{shard}.{name}"))
+        return np.uint64 if size == 8 * len(first) else np.uint32
+    return [first, *[mapped(path, f"{prefix}-{shard}.{name}", kind or wide(name)) for name, kind in names[1:]]]
 
 
 WORD_FILES = (("keys", np.uint64), ("counts", np.int64))
 WEIGHT_FILES = (("left", np.uint32), ("backoff", np.float32))
-PAIR_FILES = (("keys", np.uint64), ("counts", np.uint32))
+PAIR_FILES = (("keys", np.uint64), ("counts", None))
+
+
+def occupied(cuts: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The shards that have rows, and their rows. A slice of texts meets few of very many shards."""
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, slice(cuts[s], cuts[s + 1])
 
 
 def look_up(model: Model, hashes: np.ndarray, weights: bool) -> list[np.ndarray]:
@@ -238,17 +258,15 @@ def look_up(model: Model, hashes: np.ndarray, weights: bool) -> list[np.ndarray]
     left, backoff = np.zeros(len(hashes)), np.ones(len(hashes))
     shards = len(model.offsets) - 1
     cuts = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1)) if shards else []
-    for s in range(shards):
-        part = slice(cuts[s], cuts[s + 1])
-        if cuts[s] < cuts[s + 1]:
-            keys, counts = _files(model.path, "words", s, WORD_FILES)
-            at = place(keys, hashes[part])
-            known = at >= 0
-            number[part][known] = at[known] + model.offsets[s]
-            count[part][known] = counts[at[known]]
-            if weights:
-                l, b = _files(model.path, "words", s, WEIGHT_FILES)
-                left[part][known], backoff[part][known] = l[at[known]], b[at[known]]
+    for s, part in occupied(cuts):
+        keys, counts = _files(model.path, "words", s, WORD_FILES)
+        at = place(keys, hashes[part])
+        known = at >= 0
+        number[part][known] = at[known] + model.offsets[s]
+        count[part][known] = counts[at[known]]
+        if weights:
+            l, b = _files(model.path, "words", s, WEIGHT_FILES)
+            left[part][known], backoff[part][known] = l[at[known]], b[at[known]]
     return [number, count, left, backoff]
 
 
@@ -308,6 +326,8 @@ def _words(docs: DataFrame, model: Model, shards: int) -> None:
         put(path, f"words-{s}.keys", EMPTY)
         put(path, f"words-{s}.counts", np.zeros(0, np.int64))
     model.offsets = np.cumsum([0, *[rows[s]["size"] if s in rows else 0 for s in range(shards)]])
+    if model.words >= 1 << 32:
+        raise OverflowError(f"{model.words} distinct words do not fit the pairs of 32-bit word numbers")
     model.total, model.texts = (sum(r[name] for r in rows.values()) for name in ("total", "texts"))
 
 
@@ -333,7 +353,7 @@ def _pairs(docs: DataFrame, model: Model) -> None:
         hashes = pair_hash(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
         order = np.argsort(hashes)
         put(path, f"pairs-{s}.keys", hashes[order])
-        put(path, f"pairs-{s}.counts", counts[order].astype(np.uint32))
+        put(path, f"pairs-{s}.counts", narrowed(counts[order]))
         first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         words, at = np.unique(first, return_inverse=True)
         kinds = np.bincount(at * 3 + np.minimum(counts, 3) - 1, minlength=3 * len(words))
@@ -395,10 +415,9 @@ def counts_of(model: Model, numbers: np.ndarray) -> np.ndarray:
     """How often words occur in the learning texts, by sorted numbers; the start mark once a text."""
     out = np.full(len(numbers), model.texts, np.int64)
     cuts = np.searchsorted(numbers, model.offsets)
-    for s in range(len(model.offsets) - 1):
-        if cuts[s] < cuts[s + 1]:
-            _, counts = _files(model.path, "words", s, WORD_FILES)
-            out[cuts[s] : cuts[s + 1]] = counts[numbers[cuts[s] : cuts[s + 1]] - model.offsets[s]]
+    for s, part in occupied(cuts):
+        _, counts = _files(model.path, "words", s, WORD_FILES)
+        out[part] = counts[numbers[part] - model.offsets[s]]
     return out
 
 
@@ -417,9 +436,9 @@ def pair_counts(model: Model, pairs: np.ndarray, often: np.ndarray) -> np.ndarra
     shard, hashes = model.shard(pairs, often), pair_hash(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))
     out, order = np.zeros(len(pairs), np.int64), np.lexsort((hashes, shard))
     cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
-    for s in range(model.shards):
-        part = order[cuts[s] : cuts[s + 1]]
-        if len(part) and os.path.exists(os.path.join(model.path, f"pairs-{s}.keys")):
+    for s, rows in occupied(cuts):
+        part = order[rows]
+        if os.path.exists(os.path.join(model.path, f"pairs-{s}.keys")):
             keys, counts = _files(model.path, "pairs", s, PAIR_FILES)
             at = place(keys, hashes[part])
             out[part[at >= 0]] = counts[at[at >= 0]]

@@ -29,8 +29,8 @@ from docketlake.session import materialize
 
 CAPACITY = 4096
 END_TOKEN = 1
-#: Hash buckets over which the pieces of one length are numbered.
-BUCKETS = 64
+#: Pieces of one length that one task numbers, about.
+NUMBERED = 50_000
 
 PIECE = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 
@@ -125,7 +125,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
 def pack(rows: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """``rows`` with columns ``sequence_id`` and ``offset``; ``rows`` has key, piece, start, length.
 
-    ``rows`` is read twice and should be stored.
+    ``rows`` is read twice and should be stored. The pieces of one length are numbered in as
+    many runs as they need, by hash: a length that most pieces share takes many tasks.
     """
     spark = rows.sparkSession
     counts = [(r["length"], r["count"]) for r in rows.groupBy("length").count().collect()]
@@ -133,11 +134,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Data
     steps = spark.createDataFrame(plan(counts, capacity), schema)
     steps = steps.groupBy("length").agg(F.collect_list(
         F.struct("first", "last", "bin", "per_bin", "offset")).alias("steps"))
-    run = F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(BUCKETS))
+    runs = max([n for _, n in counts], default=0) // NUMBERED + 1
+    run = F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(runs))
     numbered = rows.withColumn("run", run).withColumn(
         "i", F.row_number().over(W.partitionBy("length", "run").orderBy(key, "piece")) - 1)
-    runs = rows.groupBy("length", run.alias("run")).count()
-    before = runs.select("length", "run", (F.sum("count").over(
+    sizes = rows.groupBy("length", run.alias("run")).count()
+    before = sizes.select("length", "run", (F.sum("count").over(
         W.partitionBy("length").orderBy("run")) - F.col("count")).alias("before"))
     placed = numbered.join(before, ["length", "run"]).join(F.broadcast(steps), "length")
     i = F.col("i") + F.col("before")

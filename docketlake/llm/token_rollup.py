@@ -27,7 +27,7 @@ SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long
 
 def words(text: str | Column) -> Column:
     """How many white-space separated words a text has; white space is the six ASCII characters."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def side(version: str | Column, n_tokens: Column, n_bytes: Column, source="source", lang="lang") -> Column:
@@ -90,7 +90,7 @@ class Rollup:
 
     def _publish(self, batch: str, rows: DataFrame, folded: list[str] | None = None) -> bool:
         aside = f"{self.folder}/aside/{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(f"{aside}/sums")  # one row per group
+        rows.write.parquet(f"{aside}/sums")  # one row per group; groups stay where they were summed
         if folded is not None:
             self.spark.createDataFrame([(b,) for b in folded], "batch string").coalesce(1).write.parquet(f"{aside}/_folded")
         self._fs.mkdirs(self._at("batches"))

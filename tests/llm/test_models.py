@@ -247,3 +247,24 @@ def test_blocks_round_trip():
     counts = rng.integers(1, 9, len(keys))
     got = kneser_ney.opened(kneser_ney.block(3, keys, counts))
     assert (got[0] == keys).all() and (got[1] == counts).all()
+
+
+# --- counts beyond four bytes ------------------------------------------------------
+
+
+def test_counts_above_four_bytes(tmp_path):
+    keys = np.array([3, 1 << 40, 1 << 63], np.uint64)
+    for counts in ([1, 2, 3], [1, 2**32 - 1, 5], [1, 2**32, 7 * 10**12]):
+        counts = np.array(counts, np.int64)
+        got = kneser_ney.opened(kneser_ney.block(0, keys, counts))
+        assert (got[0] == keys).all() and (got[1] == counts).all()
+        path = str(tmp_path / str(counts.max()))
+        kneser_ney.put(path, "pairs-0.keys", keys)
+        kneser_ney.put(path, "pairs-0.counts", kneser_ney.narrowed(counts))
+        stored = kneser_ney._files(path, "pairs", 0, kneser_ney.PAIR_FILES)
+        assert (stored[1] == counts).all() and stored[1].itemsize == (8 if counts.max() >= 2**32 else 4)
+
+
+def test_only_occupied_shards_are_visited():
+    cuts = np.searchsorted(np.array([5, 5, 70_000, 999_999]), np.arange(1_000_001))
+    assert [(s, p.stop - p.start) for s, p in kneser_ney.occupied(cuts)] == [(5, 2), (70_000, 1), (999_999, 1)]

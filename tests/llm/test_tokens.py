@@ -234,3 +234,24 @@ def test_rollup_query_against_the_final_state(spark, library):
                 want[key] = tuple(map(sum, zip(want.get(key, (0, 0, 0)), (1, n, len(text.encode())))))
     got = {tuple(r)[:3]: tuple(r)[3:] for r in op8_token_rollup(spark, sf).collect()}
     assert got == {k: want.get(k, (0, 0, 0)) for k in groups}
+
+
+def test_one_length_for_most_pieces_takes_many_runs(spark, monkeypatch):
+    """Numbering in runs packs as numbering in one does."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        F.when(F.col("id") % 10 < 8, 4096).otherwise(F.col("id") % 50 + 1).cast("long").alias("length"),
+        F.col("id").alias("ids_crc32"))
+    packs = []
+    for numbered in (10**6, 40):
+        monkeypatch.setattr(packing, "NUMBERED", numbered)
+        got = packing.pack(rows).collect()
+        bins = {}
+        for r in got:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in bins.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+            assert sum(n for _, n in parts) <= 4096
+        packs.append((len(got), len(bins)))
+    assert packs[0] == packs[1]
