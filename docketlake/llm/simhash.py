@@ -15,7 +15,9 @@ fingerprints never becomes n * n rows.
 
 ``near_copies`` removes near copies by text: fingerprints of single words (of which near
 copies differ in few bits) within ``WIDE`` bits give candidates, each text's nearest ones
-in each tree, and a candidate counts if the sets of five-word shingles have a Jaccard
+in each tree; texts of one language share many words, so those whose fingerprints of
+five-word shingles differ in more than ``FAR`` bits are left (unlike texts differ in 32,
+near copies in about ten). A candidate counts if the sets of five-word shingles have a Jaccard
 similarity of ``SIMILARITY`` or more. So it drops no text that is unlike all others, and what
 it misses are near copies whose fingerprints lie further apart.
 
@@ -45,8 +47,8 @@ SHARD_ROWS = 8192
 SHINGLE = 4
 SEED = 42
 #: Near copies by text: bits and blocks for single-word fingerprints, nearest candidates of a text
-#: in a tree, words of a shingle, and how alike two sets of them are.
-WIDE, WIDE_BLOCKS, NEAREST, WORDS, SIMILARITY = 5, 7, 2, 5, 0.8
+#: in a tree, words of a shingle, bits that their fingerprints may differ in, and how alike two sets are.
+WIDE, WIDE_BLOCKS, NEAREST, WORDS, FAR, SIMILARITY = 5, 7, 2, 5, 20, 0.8
 #: Pairs of query and node that a task holds at a time.
 FRONTIER = 2_000_000
 
@@ -304,8 +306,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     digest = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(1), text).alias("second")]
-    rows = materialize(docs.select("doc_id", *digest, fingerprint(F.col("text"), 1).alias("fp")), "word-fingerprints")
-    texts = rows.groupBy("text_hash", "second", "fp").agg(F.min("doc_id").alias("first"))
+    rows = materialize(docs.select(
+        "doc_id", *digest, fingerprint(F.col("text"), 1).alias("fp"), fingerprint(F.col("text"), WORDS).alias("far")), "word-fingerprints")
+    texts = rows.groupBy("text_hash", "second", "fp", "far").agg(F.min("doc_id").alias("first"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
     pairs = materialize(_candidates(texts), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -330,11 +333,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def _candidates(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts (node, fp) to compare: each text with the first text of its own
     fingerprint and of those that are near."""
-    first = materialize(texts.groupBy("fp").agg(F.min("node").alias("b")), "first-texts")
-    near = links(first.select("fp"), WIDE, WIDE_BLOCKS, edges=nearest_edges)
+    own = texts.groupBy("fp").agg(F.min(F.struct("node", "far")).alias("b"))
+    own = materialize(own.select("fp", F.col("b.node").alias("b"), F.col("b.far").alias("far_b")), "first-texts")
+    near = links(own.select("fp"), WIDE, WIDE_BLOCKS, edges=nearest_edges)
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     near = materialize(near.select(F.col("a").alias("fp"), F.col("b").alias("other")), "near-fingerprints")
-    others = near.join(first.withColumnRenamed("fp", "other"), "other").select("fp", "b").unionByName(first.select("fp", "b"))
-    pairs = texts.select(F.col("node").alias("a"), "fp").join(materialize(others, "near-texts"), "fp")
+    others = near.join(own.withColumnRenamed("fp", "other"), "other").select("fp", "b", "far_b").unionByName(own)
+    pairs = texts.select(F.col("node").alias("a"), "fp", "far").join(materialize(others, "near-texts"), "fp")
+    close = F.bit_count(F.col("far").bitwiseXOR(F.col("far_b"))) <= FAR
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    return pairs.filter(F.col("a") != F.col("b")).select(low, high).distinct()
+    return pairs.filter((F.col("a") != F.col("b")) & close).select(low, high).distinct()
