@@ -464,9 +464,9 @@ def _all_docs(spark, sf):
 
 
 def _plan(spark, sf, **kw):
-    """The titles and jobs documents against those of an earlier state of the data."""
-    old = _entity_docs(spark, sf, oracle.EARLIER).select("key", "sha256")
-    return publish.plan_publish(_entity_docs(spark, sf), old, **kw)
+    """The titles and jobs documents against those of an earlier state of the data, by ranges."""
+    old = _entity_docs(spark, sf, oracle.EARLIER).select("key", "sha256", publish.range_of(c("key")).alias("range"))
+    return publish.plan_publish(_entity_docs(spark, sf), old, old_digests=publish.range_digests(old), **kw)
 
 
 def _feedback(spark, sf):

@@ -201,7 +201,10 @@ def test_store_documents_and_publish(spark, filed, tmp_path):
     root = str(tmp_path / "serving")
     store.write_tables(build.tables, root, "1")
     store.write_audit(build.id_map, root, "1")
-    store.write_tables(build.tables, root, "2")
+    store.write_tables(build.tables, root, "2", build.id_map)
+    assert store.read_audit(spark, root).count() == 3
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        store.write_audit(build.id_map, root, "2")  # readers may be reading it
     assert store.current_version(spark, root) == "2"
     assert store.read_audit(spark, root, "1").count() == 3
     saved = store.read_tables(spark, root)
@@ -266,6 +269,27 @@ def test_spreadsheet_cells_parse_or_are_reported(spark, tmp_path):
     assert tuple(loader.parse_gate(report).first()) == ("unparsed_cells", 2, False)
 
 
+def test_a_crash_before_the_switch_is_made_good(spark, tmp_path, monkeypatch):
+    """A version that is complete but was never served is only switched to."""
+    root, switch = str(tmp_path / "served"), store._point
+    names = store.ServingTables.__dataclass_fields__
+    first = store.ServingTables(**{n: spark.range(2).withColumnRenamed("id", "key") for n in names})
+    other = store.ServingTables(**{n: spark.range(5).withColumnRenamed("id", "key") for n in names})
+
+    def crash(spark, folder, version, name=store.POINTER):
+        if name == store.POINTER:
+            raise RuntimeError("power cut")
+        switch(spark, folder, version, name)
+    monkeypatch.setattr(store, "_point", crash)
+    with pytest.raises(RuntimeError, match="power cut"):
+        store.write_tables(first, root, "1")
+    monkeypatch.setattr(store, "_point", switch)
+    store.write_tables(other, root, "1")
+    assert store.current_version(spark, root) == "1" and store.read_tables(spark, root).jobs.count() == 2
+    with pytest.raises(ValueError, match="in use"):
+        store.write_tables(other, root, "1")
+
+
 def test_a_build_that_stops_leaves_the_old_version(spark, tmp_path):
     root = str(tmp_path / "served")
     ids = spark.range(2).withColumnRenamed("id", "key")
@@ -284,14 +308,14 @@ def test_a_build_that_stops_leaves_the_old_version(spark, tmp_path):
 
 def test_manifest_versions(spark, tmp_path):
     path = str(tmp_path / "manifest")
-    one = spark.createDataFrame([("a", "1")], store.MANIFEST_SCHEMA)
+    one = spark.createDataFrame([("a", "1")], "key string, sha256 string")
     with pytest.raises(ValueError):
         store.write_manifest(one, path, publish.PublishOptions(limit=1))
     assert store.read_manifest(spark, path) is None
     store.write_manifest(one, path)
     old = store.read_manifest(spark, path)
-    store.write_manifest(old.union(spark.createDataFrame([("b", "2")], store.MANIFEST_SCHEMA)), path)
-    assert sorted(map(tuple, store.read_manifest(spark, path).collect())) == [("a", "1"), ("b", "2")]
+    store.write_manifest(old.select("key", "sha256").union(spark.createDataFrame([("b", "2")], "key string, sha256 string")), path)
+    assert sorted(map(tuple, store.read_manifest(spark, path).select("key", "sha256").collect())) == [("a", "1"), ("b", "2")]
     assert old.count() == 1  # the version a plan may still read
 
 
