@@ -30,7 +30,7 @@ from docketlake.session import materialize
 CAPACITY = 4096
 END_TOKEN = 1
 #: Pieces of one length that one task numbers, about.
-NUMBERED = 50_000
+NUMBERED = 4_000
 
 PIECE = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 
