@@ -11,7 +11,7 @@ set apart to fit the temperature that calibrates the probabilities.
 
 A text that is null or has no letter is ``und`` with score 0. Without any learning
 rows every text is ``und``. Rows without language or without letters teach nothing.
-Only the text is used to predict.
+Only the text is used to predict. A text of any length is read whole, in windows of bounded size.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from docketlake.llm.text import sampled, slices
 ORDERS = (1, 2, 3)
 BITS = 18
 NO_NGRAM = 1 << BITS
+#: Characters that are folded at a time; a longer text is read in windows.
+WINDOW = 1 << 20
 #: Bounds of the sample that the weights are learned from.
 PER_LANGUAGE, LANGUAGES = 1500, 64
 #: Step size, its offset, both penalties, passes, and the scale of the values.
@@ -45,26 +47,58 @@ def fold_table() -> np.ndarray:
     return np.array([ord(c.lower()[0]) if c.isalpha() else SPACE for c in map(chr, range(0x110000))], np.uint32)
 
 
-def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Per slice: a row of buckets for each position of the folded texts (``NO_NGRAM`` where
-    an n-gram would leave its text), each text's end in the rows, and its letters."""
-    for part in slices(texts, 1 << 20):
+    an n-gram would leave its text), each text's end in the rows, its letters, and whether
+    the slice is a window of one text that goes on in the next one."""
+    for part in slices(texts, WINDOW):
         rows = part.to_pylist()
-        codes = np.frombuffer("".join([f" {t} " for t in rows]).encode("utf-32-le"), np.uint32)
-        code = fold_table()[codes]
-        text = np.repeat(np.arange(len(rows)), [len(t) + 2 for t in rows])
-        space = code == SPACE
-        keep = np.ones(len(code), bool)
-        keep[1:] = ~(space[1:] & space[:-1] & (text[1:] == text[:-1]))
-        code, text, space = code[keep], text[keep], space[keep]
-        letters = np.bincount(text[~space], minlength=len(rows))
-        buckets, mixed = np.full((len(code), len(ORDERS)), NO_NGRAM, np.int32), np.zeros(len(code), np.uint32)
-        for k, n in enumerate(ORDERS):
-            size = max(len(code) - n + 1, 0)
-            mixed = (mixed[:size] ^ code[n - 1 :]) * np.uint32(0x01000193)
-            bucket = ((mixed + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-            buckets[:size, k] = np.where(text[n - 1 :] == text[:size], bucket, NO_NGRAM)
-        yield buckets, np.cumsum(np.bincount(text, minlength=len(rows))), letters
+        if len(rows) == 1 and len(rows[0]) > WINDOW:
+            yield from _windows(rows[0])
+        else:
+            code, text = _folded([f" {t} " for t in rows])
+            letters = np.bincount(text[code != SPACE], minlength=len(rows))
+            yield _buckets(code, text), np.cumsum(np.bincount(text, minlength=len(rows))), letters, False
+
+
+def _folded(rows: list[str], before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of texts, runs of spaces as one, and each code's text; ``before`` stands before the first."""
+    codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+    code = fold_table()[codes]
+    text = np.repeat(np.arange(len(rows)), [len(t) for t in rows])
+    space = code == SPACE
+    keep = np.ones(len(code), bool)
+    keep[1:] = ~(space[1:] & space[:-1] & (text[1:] == text[:-1]))
+    if before == SPACE and len(code):
+        keep[0] = not space[0]
+    return code[keep], text[keep]
+
+
+def _buckets(code: np.ndarray, text: np.ndarray) -> np.ndarray:
+    buckets, mixed = np.full((len(code), len(ORDERS)), NO_NGRAM, np.int32), np.zeros(len(code), np.uint32)
+    for k, n in enumerate(ORDERS):
+        size = max(len(code) - n + 1, 0)
+        mixed = (mixed[:size] ^ code[n - 1 :]) * np.uint32(0x01000193)
+        bucket = ((mixed + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        buckets[:size, k] = np.where(text[n - 1 :] == text[:size], bucket, NO_NGRAM)
+    return buckets
+
+
+def _windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """A long text in windows, which together have the n-grams of the whole: the last two codes
+    of a window begin the next one, and wait there for those that follow."""
+    wait = np.zeros(0, np.uint32)
+    for start in range(0, len(text), WINDOW):
+        last = start + WINDOW >= len(text)
+        piece = (" " if start == 0 else "") + text[start : start + WINDOW] + (" " if last else "")
+        code, _ = _folded([piece], int(wait[-1]) if len(wait) else 0)
+        code = np.concatenate([wait, code])
+        keep = 0 if last else min(2, len(code))
+        buckets = _buckets(code, np.zeros(len(code), np.int64))[: len(code) - keep]
+        letters = np.array([(code[: len(code) - keep] != SPACE).sum()])
+        wait = code[len(code) - keep :]
+        if len(buckets):
+            yield buckets, np.array([len(buckets)]), letters, not last
 
 
 class Counter:
@@ -84,8 +118,16 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """How many rows of ``texts`` (text) hold each bucket, and how many rows there are."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total, rows = Counter(), np.zeros(NO_NGRAM + 1, np.int64), 0
+        held, some = np.zeros(NO_NGRAM + 1, bool), 0  # of a text in windows
         for batch in batches:
-            for buckets, ends, letters in ngrams(batch["text"]):
+            for buckets, ends, letters, goes_on in ngrams(batch["text"]):
+                if goes_on or held.any():
+                    held[buckets.ravel()], some = True, some + int(letters[0])
+                    if not goes_on:
+                        total += held & (some > 0)
+                        rows += some > 0
+                        held[:], some = False, 0
+                    continue
                 rows += int((letters > 0).sum())
                 for k, part in enumerate(np.split(buckets, ends[:-1])):
                     if letters[k]:
@@ -108,8 +150,16 @@ def counted(text: str | Column) -> Column:
 
     @F.arrow_udf("struct<ids: array<int>, n: array<int>>")
     def counts(texts: pa.Array) -> pa.Array:
-        rows = []
-        for buckets, ends, letters in ngrams(texts):
+        rows, held, some = [], np.zeros(NO_NGRAM + 1, np.int64), 0  # of a text in windows
+        for buckets, ends, letters, goes_on in ngrams(texts):
+            if goes_on or held.any():
+                held += np.bincount(buckets.ravel(), minlength=NO_NGRAM + 1)
+                some += int(letters[0])
+                if not goes_on:
+                    ids = np.flatnonzero(held[:NO_NGRAM]) if some else np.zeros(0, np.int64)
+                    rows.append({"ids": ids.astype(np.int32), "n": held[ids].astype(np.int32)})
+                    held[:], some = 0, 0
+                continue
             for k, part in enumerate(np.split(buckets, ends[:-1])):
                 ids, n = np.unique(part[part != NO_NGRAM] if letters[k] else part[:0], return_counts=True)
                 rows.append({"ids": ids.astype(np.int32), "n": n.astype(np.int32)})
@@ -208,14 +258,20 @@ def predict(model: Model, text: str | Column, spark) -> Column:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def classify(texts: pa.Array) -> pa.Array:
         names, weights = np.array([*shared.value.languages, UND], object), np.ascontiguousarray(shared.value.weights.T)
-        labels, scores = [], []
-        for buckets, ends, letters in ngrams(texts):
+        labels, scores, k = [], [], len(names) - 1
+        before = None  # sums of a text in windows
+        for buckets, ends, letters, goes_on in ngrams(texts):
             starts = np.concatenate([[0], ends[:-1]])
-            k = len(names) - 1
             best, score = np.full(len(ends), k), np.zeros(len(ends))
             if k:
                 total = np.stack([np.add.reduceat(w[buckets].sum(1), starts, dtype=np.float64) for w in weights], 1)
                 n = np.add.reduceat((buckets != NO_NGRAM).sum(1), starts)
+                if before:
+                    total, n, letters = (x + y for x, y in zip((total, n, letters), before))
+                before = (total, n, letters) if goes_on else None
+            if goes_on:
+                continue
+            if k:
                 p = softmax(total / n[:, None])
                 some = letters > 0
                 best[some], score[some] = p.argmax(1)[some], p.max(1)[some]

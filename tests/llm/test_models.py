@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,9 +78,37 @@ def test_languages_odd(spark, languages):
     assert empty(spark).select(langid.predict(languages, "text", spark)).count() == 0
 
 
-def test_ngrams_stay_within_their_text():
-    import pyarrow as pa
+def test_windows_have_the_ngrams_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        text = "".join(rng.choice(list("ab É1  "), rng.integers(8, 60)))
+        whole = next(langid.ngrams(pa.array([text])))
+        monkeypatch.setattr(langid, "WINDOW", int(rng.integers(1, 8)))
+        parts = list(langid.ngrams(pa.array([text])))
+        monkeypatch.setattr(langid, "WINDOW", 1 << 20)
+        assert [p[3] for p in parts] == [True] * (len(parts) - 1) + [False]
+        got = np.concatenate([p[0].ravel() for p in parts])
+        want = whole[0].ravel()
+        assert (np.sort(got[got != langid.NO_NGRAM]) == np.sort(want[want != langid.NO_NGRAM])).all()
+        assert sum(p[2][0] for p in parts) == whole[2][0]
+
+
+def test_a_very_long_text_takes_bounded_memory(spark, languages):
+    """Thirty million characters: named as its parts are, in little more memory than the text's own."""
+    import tracemalloc
+
+    text = "das ist ein Satz der sich oft wiederholt und " * 700_000
+    tracemalloc.start()
+    for _ in langid.ngrams(pa.array([text])):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+    docs = spark.createDataFrame([(text,), (text[:2000],)], "text string")
+    a, b = (r["p"] for r in docs.select(langid.predict(languages, "text", spark).alias("p")).collect())
+    assert a["lang_pred"] == b["lang_pred"] and abs(a["score"] - b["score"]) < 0.02
 
+
+def test_ngrams_stay_within_their_text():
     apart = [b for t in ("ab", "", "cd e") for b in [next(langid.ngrams(pa.array([t])))[0]]]
     together = next(langid.ngrams(pa.array(["ab", "", "cd e"])))[0]
     assert (np.concatenate(apart) == together).all()
