@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,8 +61,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths written within each open ``intermediates`` block, the innermost last.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``materialize`` writes within the block when the block ends.
+
+    What should outlast it, such as serving tables, must be written within it: frames
+    that read the intermediate tables cannot be evaluated afterwards.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in map(hadoop.Path, _written.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+    """Write ``df`` once and read it back. Within ``intermediates`` the table goes when that ends.
 
     Several consumers then share one computation, later column pruning and
     filters still reach the parquet scan, and a lost executor costs a re-read
@@ -68,5 +90,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
