@@ -48,7 +48,7 @@ SHINGLE = 4
 SEED = 42
 #: Near copies by text: bits and blocks for single-word fingerprints, nearest candidates of a text
 #: in a tree, words of a shingle, bits that their fingerprints may differ in, and how alike two sets are.
-WIDE, WIDE_BLOCKS, NEAREST, WORDS, FAR, SIMILARITY = 5, 7, 2, 5, 20, 0.8
+WIDE, WIDE_BLOCKS, NEAREST, WORDS, FAR, SIMILARITY = 5, 8, 2, 5, 20, 0.8
 #: Pairs of query and node that a task holds at a time.
 FRONTIER = 2_000_000
 
