@@ -14,10 +14,10 @@ A task turns the links it finds into a spanning forest, so a group of n
 fingerprints never becomes n * n rows.
 
 ``near_copies`` removes near copies by text: fingerprints of single words (of which near
-copies differ in few bits) within ``WIDE`` bits give candidates, each text's nearest ones
-in each tree; texts of one language share many words, so those whose fingerprints of
-five-word shingles differ in more than ``FAR`` bits are left (unlike texts differ in 32,
-near copies in about ten). A candidate counts if the sets of five-word shingles have a Jaccard
+copies differ in few bits) within ``WIDE`` bits give candidates, all of them; texts of one
+language share many words, so those whose fingerprints of five-word shingles differ in more
+than ``FAR`` bits are left (unlike texts differ in 32, near copies in about ten) where they are
+found: no text crowds out another. A candidate counts if the sets of five-word shingles have a Jaccard
 similarity of ``SIMILARITY`` or more. So it drops no text that is unlike all others, and what
 it misses are near copies whose fingerprints lie further apart.
 
@@ -28,7 +28,7 @@ of a group are null.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,9 +46,9 @@ BLOCKS = 6
 SHARD_ROWS = 8192
 SHINGLE = 4
 SEED = 42
-#: Near copies by text: bits and blocks for single-word fingerprints, nearest candidates of a text
-#: in a tree, words of a shingle, bits that their fingerprints may differ in, and how alike two sets are.
-WIDE, WIDE_BLOCKS, NEAREST, WORDS, FAR, SIMILARITY = 5, 8, 2, 5, 20, 0.8
+#: Near copies by text: bits and blocks for single-word fingerprints, words of a shingle, bits that
+#: their fingerprints may differ in, and how alike two sets are.
+WIDE, WIDE_BLOCKS, WORDS, FAR, SIMILARITY = 5, 8, 5, 20, 0.8
 #: Pairs of query and node that a task holds at a time.
 FRONTIER = 2_000_000
 
@@ -95,20 +95,20 @@ def shard_keys(fp: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column
 
 
 def cells(fps: DataFrame, radius: int, blocks: int, limit: int) -> DataFrame:
-    """Rows (cell, fp, query): the trees' and the queries' fingerprints of each cell.
+    """Rows (cell, query, and those of ``fps``): the trees' and the queries' fingerprints (fp) of each cell.
 
     A shard of up to ``limit`` rows is one cell, a tree that is queried with its own
     rows. A larger one has a cell for each pair of its parts.
     """
-    shards = materialize(fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, blocks)).alias("shard")), "shards")
+    shards = materialize(fps.select("*", F.explode(shard_keys(F.col("fp"), radius, blocks)).alias("shard")), "shards")
     crowded = shards.groupBy("shard").count().filter(F.col("count") > limit).select(
         F.col("shard").alias("s"), F.ceil(F.col("count") / limit).cast("int").alias("n"))
     rows = shards.join(materialize(crowded, "crowded-shards"), F.col("shard") == F.col("s"), "left")
     n = F.coalesce("n", F.lit(1))
-    rows = rows.select("shard", "fp", n.alias("n"), F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int").alias("own"))
+    rows = rows.select("shard", *fps.columns, n.alias("n"), F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int").alias("own"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    return rows.select("shard", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
-        F.xxhash64("shard", low, high).alias("cell"), "fp", (F.col("own") > F.col("other")).alias("query"))
+    return rows.select("shard", *fps.columns, "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
+        F.xxhash64("shard", low, high).alias("cell"), *fps.columns, (F.col("own") > F.col("other")).alias("query"))
 
 
 class Forest:
@@ -183,36 +183,72 @@ def forest_edges(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: in
     return moved, root[moved]
 
 
-def nearest_edges(cell: np.ndarray, fp: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query's links within whole cells the ``NEAREST`` nearest, the smaller fingerprint of equals."""
-    none = np.zeros(0, np.int64)
-    kept = [(none, none)]
-    for a, b in _found(cell, fp, query, radius):
-        other = fp[a] != fp[b]
-        a, b = a[other], b[other]
-        far = np.bitwise_count(fp[a].view(np.uint64) ^ fp[b].view(np.uint64))
-        order = np.lexsort((fp[b], far, a))
-        a, b = a[order], b[order]
-        near = np.arange(len(a)) - np.searchsorted(a, a) < NEAREST
-        kept.append((a[near], b[near]))
-    return tuple(np.concatenate(x) for x in zip(*kept))
-
-
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, limit: int = SHARD_ROWS,
-          edges: Callable = forest_edges) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (a, b): by default such that span all links within the radius."""
+def near_pairs(
+    cell: np.ndarray, fp: np.ndarray, query: np.ndarray, far: np.ndarray, radius: int,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of whole cells whose fingerprints differ, but within the radius, and whose
+    second ones (``far``) are within ``FAR`` bits, in blocks.
+
+    Rows of one fingerprint are one node of a tree, and meet the rows of another one by one.
+    """
+    order = np.lexsort((fp, query, cell))
+    cell, fp, query, far = cell[order], fp[order], query[order], far[order].view(np.uint64)
+    new = np.ones(len(fp), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (query[1:] != query[:-1]) | (fp[1:] != fp[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(fp)))
+
+    def rows(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of groups, and for each the place of its group."""
+        n = size[groups]
+        place = np.repeat(np.arange(len(groups)), n)
+        return first[groups][place] + np.arange(len(place)) - (np.cumsum(n) - n)[place], place
+
+    for q, node in _found(cell[first], fp[first], query[first], radius):
+        other = fp[first[q]] != fp[first[node]]
+        a, place = rows(q[other])
+        b = node[other][place]
+        work = np.cumsum(size[b])
+        start = 0
+        while start < len(a):
+            done = work[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(work, done + FRONTIER)))
+            to, at = rows(b[start:stop])
+            one = a[start:stop][at]
+            near = np.bitwise_count(far[one] ^ far[to]) <= FAR
+            yield order[one[near]], order[to[near]]
+            start = stop
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, limit: int = SHARD_ROWS) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (a, b) that span all links within the radius."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 1 << 18):
             fp = table["fp"].to_numpy()
-            a, b = edges(table["cell"].to_numpy(), fp, table["query"].to_numpy(), radius)
+            a, b = forest_edges(table["cell"].to_numpy(), fp, table["query"].to_numpy(), radius)
             yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], schema=kind)
 
     spread = cells(fps, radius, blocks, limit).repartition("cell").sortWithinPartitions("cell")
     return spread.mapInArrow(search, "a long, b long")
 
 
+def near_links(texts: DataFrame, radius: int = WIDE, blocks: int = WIDE_BLOCKS, limit: int = SHARD_ROWS) -> DataFrame:
+    """All pairs (a, b) of ``near_pairs`` among texts (node, fp, far), the smaller node first; a pair may repeat."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell", 1 << 18):
+            cell, fp, query, far, node = (table[c].to_numpy() for c in ("cell", "fp", "query", "far", "node"))
+            for a, b in near_pairs(cell, fp, query, far, radius):
+                pairs = np.unique(np.sort(np.stack([node[a], node[b]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=kind)
+
+    spread = cells(texts.select("fp", "node", "far"), radius, blocks, limit).repartition("cell").sortWithinPartitions("cell")
+    return spread.mapInArrow(search, "a long, b long")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
     """Batches sorted by ``key``, regrouped so that no value of ``key`` is cut."""
     held: list[pa.RecordBatch] = []
@@ -331,15 +367,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts (node, fp) to compare: each text with the first text of its own
-    fingerprint and of those that are near."""
-    own = texts.groupBy("fp").agg(F.min(F.struct("node", "far")).alias("b"))
-    own = materialize(own.select("fp", F.col("b.node").alias("b"), F.col("b.far").alias("far_b")), "first-texts")
-    near = links(own.select("fp"), WIDE, WIDE_BLOCKS, edges=nearest_edges)
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near = materialize(near.select(F.col("a").alias("fp"), F.col("b").alias("other")), "near-fingerprints")
-    others = near.join(own.withColumnRenamed("fp", "other"), "other").select("fp", "b", "far_b").unionByName(own)
-    pairs = texts.select(F.col("node").alias("a"), "fp", "far").join(materialize(others, "near-texts"), "fp")
+    """Pairs (a, b) of texts (node, fp, far) to compare: all whose fingerprints are within ``WIDE`` and ``FAR`` bits."""
+    left = texts.select(F.col("node").alias("a"), "fp", "far")
+    right = texts.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("far").alias("far_b"))
     close = F.bit_count(F.col("far").bitwiseXOR(F.col("far_b"))) <= FAR
-    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    return pairs.filter((F.col("a") != F.col("b")) & close).select(low, high).distinct()
+    same = left.join(right, (F.col("fp") == F.col("fp_b")) & (F.col("a") < F.col("b")) & close).select("a", "b")
+    return near_links(texts).unionByName(same).distinct()
