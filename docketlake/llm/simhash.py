@@ -354,12 +354,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
     sets = materialize(held.select("node", shingles("text").alias("set")).withColumn("n", F.size("set")), "shingles")
     met = pairs
+    # Sizes rule pairs out before their sets are moved.
     for side in "ab":
-        met = met.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")), side)
+        met = met.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
     possible = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    met = materialize(met.filter(possible), "possible-pairs")
+    for side in "ab":
+        met = met.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = both >= similarity * (F.col("n_a") + F.col("n_b") - both)
-    found = materialize(met.filter(possible).filter(alike).select("a", "b"), "near-copies")
+    found = materialize(met.filter(alike).select("a", "b"), "near-copies")
     roots = materialize(components(found), "roots")
     named = texts.join(roots, "node", "left").select("text_hash", "second", F.coalesce("root", "node").alias("root"))
     whole = rows.join(materialize(named, "named"), ["text_hash", "second"]).select("doc_id", "text_hash", "root")
