@@ -13,13 +13,16 @@ no size bound, and must not go through the driver.
 A task turns the links it finds into a spanning forest, so a group of n
 fingerprints never becomes n * n rows.
 
-``near_copies`` removes near copies by text: fingerprints of single words (of which near
-copies differ in few bits) within ``WIDE`` bits give candidates, all of them; texts of one
-language share many words, so those whose fingerprints of five-word shingles differ in more
-than ``FAR`` bits are left (unlike texts differ in 32, near copies in about ten) where they are
-found: no text crowds out another. A candidate counts if the sets of five-word shingles have a Jaccard
-similarity of ``SIMILARITY`` or more. So it drops no text that is unlike all others, and what
-it misses are near copies whose fingerprints lie further apart.
+``near_copies`` removes near copies by text: two texts are linked if their sets of five-word
+shingles have a Jaccard similarity of ``SIMILARITY`` or more, and groups are what links connect.
+Candidates share one of ``BANDS`` keys, each of ``DEEP`` minima of the set under as many orders (of
+two texts at the similarity two in a million share none, of more alike ones fewer). What texts
+share a key is a bucket. Copies of one text would make every pair of a bucket a candidate; so
+for ``ROUNDS`` rounds each text is compared with one text of the largest group that its buckets
+hold, and only then all pairs that are not yet of one group. No text crowds out another.
+
+``near_links`` gives the pairs whose fingerprints of single words are within ``WIDE`` bits and those
+of five words within ``FAR``.
 
 Null texts are empty. A text without words has fingerprint zero and links like
 any other. Null identifiers take part and never are the smallest one unless all
@@ -49,6 +52,13 @@ SEED = 42
 #: Near copies by text: bits and blocks for single-word fingerprints, words of a shingle, bits that
 #: their fingerprints may differ in, and how alike two sets are.
 WIDE, WIDE_BLOCKS, WORDS, FAR, SIMILARITY = 5, 8, 5, 20, 0.8
+#: Keys of a text by minima of its shingles, minima of a key, and rounds before all pairs are compared.
+BANDS, DEEP, ROUNDS = 25, 4, 3
+#: Odd factors that put 64-bit hashes into as many orders, and hashes that are put into them at a time.
+ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * DEEP, 1), np.uint64) | np.uint64(1)
+RUN = 1024
+#: Shingles of the texts that a task compares with one another.
+CELL = 4_000_000
 #: Pairs of query and node that a task holds at a time.
 FRONTIER = 2_000_000
 
@@ -319,55 +329,201 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
 # --- near copies by text ---------------------------------------------------------
 
 
+def _set(text: bytes) -> np.ndarray:
+    """The distinct ``WORDS``-word shingles of a text, as hashes; of fewer words, the whole sequence."""
+    words, digest = text.lower().split(), xxhash.xxh64_intdigest
+    n = max(len(words) - WORDS + 1, min(len(words), 1))
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + WORDS]), SEED) for k in range(n)), np.uint64, n))
+
+
 def shingles(text: str | Column) -> Column:
-    """A text column's distinct ``WORDS``-word shingles, as hashes; of fewer words, the whole sequence."""
+    """A text column's sets of shingles."""
     @F.arrow_udf("array<long>")
     def sets(texts: pa.Array) -> pa.Array:
-        out = []
-        for row in pc.fill_null(texts, "").cast(pa.binary()):
-            words, digest = row.as_py().lower().split(), xxhash.xxh64_intdigest
-            n = max(len(words) - WORDS + 1, min(len(words), 1))
-            hashes = (digest(b" ".join(words[k : k + WORDS]), SEED) for k in range(n))
-            out.append(np.unique(np.fromiter(hashes, np.uint64, n)).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        rows = pc.fill_null(texts, "").cast(pa.binary())
+        return pa.array([_set(row.as_py()).view(np.int64) for row in rows], pa.list_(pa.int64()))
     return sets(text)
 
 
+def band_keys(some: np.ndarray) -> list[int]:
+    """The keys of a set of hashes, as signed longs; two sets share a key if they share its minima."""
+    low = np.full((BANDS * DEEP, 1), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(some), RUN):
+        low = np.minimum(low, (some[at : at + RUN] * ORDERS).min(1, keepdims=True))
+    keys = [xxhash.xxh64_intdigest(minima.tobytes(), k) for k, minima in enumerate(low.reshape(BANDS, DEEP))]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def sketch(text: str | Column) -> Column:
+    """A text column's numbers of distinct shingles (n) and their ``band_keys`` (keys)."""
+    @F.arrow_udf("struct<n:int,keys:array<long>>")
+    def sketches(texts: pa.Array) -> pa.Array:
+        sets = [_set(row.as_py()) for row in pc.fill_null(texts, "").cast(pa.binary())]
+        keys = pa.array([band_keys(some) for some in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([len(some) for some in sets], pa.int32()), keys], ["n", "keys"])
+    return sketches(text)
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without all but one of each group of near copies.
 
-    Texts are near copies if their shingles have at least that Jaccard similarity and
-    their fingerprints were candidates; groups are what such links connect. Which one stays
-    follows the rule of ``deduplicated``.
+    Texts are near copies if their shingles have at least that Jaccard similarity; groups are
+    what such links connect. Which one stays follows the rule of ``deduplicated``.
     """
     text = F.coalesce("text", F.lit(""))
     digest = [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(1), text).alias("second")]
-    rows = materialize(docs.select(
-        "doc_id", *digest, fingerprint(F.col("text"), 1).alias("fp"), fingerprint(F.col("text"), WORDS).alias("far")), "word-fingerprints")
-    texts = rows.groupBy("text_hash", "second", "fp", "far").agg(F.min("doc_id").alias("first"))
+    rows = materialize(docs.select("doc_id", *digest, sketch(F.col("text")).alias("sketch")), "sketches")
+    texts = rows.groupBy("text_hash", "second").agg(
+        F.min("doc_id").alias("first"), F.any_value("sketch").alias("sketch"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    pairs = materialize(_candidates(texts), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = texts.join(asked, "node", "left_semi").select("node", "first", "text_hash", "second")
+    keyed = texts.select("node", "sketch.n", F.explode("sketch.keys").alias("key"))
+    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
+    buckets = materialize(keyed.join(materialize(shared, "shared-keys"), "key", "left_semi"), "buckets")
+    some = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "first", "text_hash", "second")
     # One document of each text; its copies hold the same.
-    held = docs.select("doc_id", "text", *digest).join(some, ["text_hash", "second"]).filter(
+    held = docs.select("doc_id", "text", *digest).join(materialize(some, "compared"), ["text_hash", "second"]).filter(
         F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
-    sets = materialize(held.select("node", shingles("text").alias("set")).withColumn("n", F.size("set")), "shingles")
+    sets = materialize(held.select("node", shingles("text").alias("set")), "shingles")
+    roots = _near_roots(buckets, sets, similarity)
+    named = texts.join(roots, "node", "left").select("text_hash", "second", F.coalesce("root", "node").alias("root"))
+    whole = rows.join(materialize(named, "named"), ["text_hash", "second"]).select("doc_id", "text_hash", "root")
+    return one_of_each(docs, materialize(whole, "groups"))
+
+
+def _near_roots(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (node, root) of texts in groups, from buckets (key, node, n) and sets (node, set); see ``components``."""
+    buckets = _bounded(buckets, sets, similarity)
+    known, found, tested = buckets.withColumn("root", F.col("node")), None, None
+    for step in range(ROUNDS):
+        pairs = _offered(known, step, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(_alike(pairs, sets, similarity), "near-copies")
+        tested, found = (pairs, links) if tested is None else (tested.union(pairs), found.union(links))
+        roots = materialize(components(found), "roots")
+        known = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return materialize(components(found.union(materialize(_apart(known, sets, similarity), "near-copies"))), "roots")
+
+
+def _bounded(bucket: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``bucket`` (key, node, n, ...) with ``held``, the shingles of a text that others of these texts have.
+
+    All others are in no intersection, so texts that hold too few of theirs are near to none and go.
+    """
+    each = sets.join(bucket.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("node").alias("node")).filter("texts = 1")
+    alone = materialize(own.groupBy("node").agg(F.count("*").alias("alone")), "own-shingles")
+    held = F.col("n") - F.coalesce("alone", F.lit(0))
+    counted = bucket.drop("held").join(alone, "node", "left").withColumn("held", held).drop("alone")
+    return materialize(counted.filter(F.col("held") >= similarity * F.col("n")), "bounded-buckets")
+
+
+def _possible(side: str, other: str, similarity: float) -> Column:
+    """Whether two sets can be so alike, by their sizes and what they hold."""
+    most = F.least(f"held{side}", f"held{other}")
+    return most >= similarity * (F.col(f"n{side}") + F.col(f"n{other}") - most)
+
+
+def _largest(known: DataFrame, step: int) -> DataFrame:
+    """(key, main, hub, n_hub, held_hub): of buckets with texts of several groups the largest group, and one text of it.
+
+    At first that is the text with the fewest shingles of its own, to which variants of one text are nearest.
+    """
+    own = (F.col("n") - F.col("held") if step == 0 else F.lit(0)).alias("own")
+    first = F.struct(own, F.xxhash64("node", F.lit(step)).alias("order"), "node", "n", "held")
+    parts = known.groupBy("key", "root").agg(F.count("*").alias("size"), F.min(first).alias("hub"))
+    order = F.struct("size", -F.col("hub.own"), -F.col("root"))
+    main = F.max_by(F.struct("root", "hub"), order).alias("main")
+    several = parts.groupBy("key").agg(F.count("*").alias("parts"), main).filter("parts > 1")
+    return several.select("key", F.col("main.root").alias("main"), F.col("main.hub.node").alias("hub"),
+                          F.col("main.hub.n").alias("n_hub"), F.col("main.hub.held").alias("held_hub"))
+
+
+def _offered(known: DataFrame, step: int, similarity: float) -> DataFrame:
+    """Pairs (a, b): each text with one of the largest groups of its buckets, that of most of its keys."""
+    met = known.join(materialize(_largest(known, step), "largest"), "key").filter(
+        (F.col("root") != F.col("main")) & _possible("", "_hub", similarity))
+    shared = met.groupBy("node", "hub").count()
+    best = F.max_by("hub", F.struct("count", -F.col("hub")))
+    return shared.groupBy(F.col("node").alias("a")).agg(best.alias("b"))
+
+
+def _apart(known: DataFrame, sets: DataFrame, similarity: float, limit: int | None = None) -> DataFrame:
+    """The links (a, b) between groups, among all pairs of texts that share a key; one for each text and other group.
+
+    Texts outside the largest group of a bucket meet all of it, and one another. A bucket's sets are moved
+    once, whatever its pairs; one of more than ``limit`` shingles is cut into parts, which meet in pairs.
+    """
+    limit = limit or CELL
+    for _ in range(2):  # the second count knows fewer texts
+        known = materialize(known, "known")
+        mixed = known.join(materialize(_largest(known, ROUNDS).select("key", "main"), "largest"), "key")
+        known = _bounded(mixed.drop("main"), sets, similarity)
+    main = materialize(_largest(known, ROUNDS).select("key", "main"), "largest")
+    bucket = materialize(known.join(main, "key"), "mixed-buckets")
+    outside = F.col("root") != F.col("main")
+
+    def parts(n: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(n) / limit), F.lit(1)).cast("int")
+    cut = materialize(bucket.groupBy("key").agg(
+        parts(F.col("n")).alias("all"), parts(F.when(outside, F.col("n")).otherwise(0)).alias("rest")), "parts")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows with a cell for each part of the other side."""
+        part = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+        met = rows.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        pair = ("own", "other") if own == "all" else ("other", "own")
+        return met.select(F.xxhash64("key", *pair).alias("cell"), F.lit(own == "rest").alias("asks"), *bucket.columns)
+    rows = bucket.join(cut, "key")
+    cells_of = dealt(rows, "all", "rest").union(dealt(rows.filter(outside), "rest", "all")).drop("key")
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell", 1 << 10):
+            cell = table["cell"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            for start, stop in zip(edges, edges[1:]):
+                a, b = _between(table.slice(start, stop - start).combine_chunks(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kind)
+
+    spread = cells_of.join(sets, "node").repartition("cell").sortWithinPartitions("cell")
+    return spread.mapInArrow(search, "a long, b long").distinct()
+
+
+def _between(cell: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """The links of a cell: of each text that asks, one to each other group."""
+    node, n, held, root, main, asks = (cell[c].to_numpy() for c in ("node", "n", "held", "root", "main", "asks"))
+    sets = [s.values.to_numpy() for s in cell["set"]]
+    there = np.flatnonzero(~asks)
+    if not len(there) or len(there) == len(node):
+        return [], []
+    known, at = np.unique(np.concatenate([sets[i] for i in there]), return_inverse=True)
+    ends = np.r_[0, np.cumsum([len(sets[i]) for i in there])]
+    found: tuple[list[int], list[int]] = ([], [])
+    for x in np.flatnonzero(asks):
+        most = np.minimum(held[x], held[there])
+        may = (root[there] != root[x]) & ((root[there] == main[there]) | (node[x] < node[there]))
+        may &= most >= similarity * (n[x] + n[there] - most)
+        if not may.any():
+            continue
+        has = np.zeros(len(known), bool)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
+            has[place[known[place] == sets[x]]] = True
+        both = np.diff(np.r_[0, np.cumsum(has[at])][ends])
+        near = there[may & (both >= similarity * (n[x] + n[there] - both))]
+        for y in near[np.unique(root[near], return_index=True)[1]]:
+            found[0].append(int(node[x]))
+            found[1].append(int(node[y]))
+    return found
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have that Jaccard similarity."""
     met = pairs
-    # Sizes rule pairs out before their sets are moved.
-    for side in "ab":
-        met = met.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
-    possible = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    met = materialize(met.filter(possible), "possible-pairs")
     for side in "ab":
         met = met.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
     both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = both >= similarity * (F.col("n_a") + F.col("n_b") - both)
-    found = materialize(met.filter(alike).select("a", "b"), "near-copies")
-    roots = materialize(components(found), "roots")
-    named = texts.join(roots, "node", "left").select("text_hash", "second", F.coalesce("root", "node").alias("root"))
-    whole = rows.join(materialize(named, "named"), ["text_hash", "second"]).select("doc_id", "text_hash", "root")
-    return one_of_each(docs, materialize(whole, "groups"))
+    return met.filter(both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
