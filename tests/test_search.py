@@ -108,3 +108,15 @@ def test_lookup_statuses(spark):
     got = {r["request_id"]: r["status"] for r in lookup.lookup_wages(docs, wages).collect()}
     assert got == {1: 400, 2: 400, 3: 200, 4: 404}
     assert lookup.lookup_meta(docs, wages.limit(1)).collect()[0]["body"] == "m"
+
+
+def test_titles_are_cleaned_once(spark):
+    """The first met spelling and its sum as row by row; cleaning comes after titles have met."""
+    rows = [("k2", "a", "Data  Clerk", 5), ("k1", "a", "data clerk", 2), ("k1", "a", "DATA CLERK", 2),
+            ("k1", "b", "Data Clerk", 9), ("k0", "a", "Welder", 1), ("k3", "a", "data clerk", 7)]
+    titles = spark.createDataFrame(rows, "key string, soc_code string, title string, n_filings long").repartition(3)
+    corpus = search.title_corpus(titles)
+    assert {tuple(r) for r in corpus.select("nm", "soc_code", "title", "n").collect()} == {
+        ("data clerk", "a", "DATA CLERK", 16), ("data clerk", "b", "Data Clerk", 9), ("welder", "a", "Welder", 1)}
+    plan = corpus._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan[plan.rindex("Exchange hashpartitioning(title"):]
