@@ -5,6 +5,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from docketlake.functions import normalize as nz
+from docketlake.functions.aggregates import counts_to_map
 
 
 def applied(spark, fn, raws, dtype="string"):
@@ -127,3 +128,31 @@ def test_wages_and_approvals(spark):
         (100.0, 200.0, 150.0, False, False), (101.0, 101.0, 101.0, True, True),
         (None, None, None, True, False), (None, None, None, None, None),
     ]
+
+
+def test_shortcuts_of_the_normalizers(spark):
+    """Names, identifiers, prefixes and label maps as the plain definitions give them."""
+    space = f"[{nz.NAME_SPACE}]+"
+    names = [None, "", " ", "  ", "a b", "A  b", " a b ", "\tAcme Co", "École  x", "a\x1cb", "　a", "~a!", "a\x7fb", "İx"]
+    numbers = [None, "", "0", "01", "9", "012345678", "01-2345678", "0123456789", "961234567", "99 1234567x", "1234567890123456789"]
+    digits = F.regexp_replace("number", "[^0-9]", "")
+    usable = (F.length(digits) == 9) & F.substring(digits, 1, 2).isin(*nz.BUSINESS_ID_PREFIXES)
+    got = spark.createDataFrame([(n,) for n in names], "name string").select(
+        nz.norm_name(F.col("name")).alias("got"),
+        F.nullif(F.trim(F.regexp_replace(F.lower("name"), space, " ")), F.lit("")).alias("want")).collect()
+    got += spark.createDataFrame([(n,) for n in numbers], "number string").select(
+        nz.norm_ein(F.col("number")).alias("got"), F.when(usable, digits).alias("want")).collect()
+    assert len(got) == len(names) + len(numbers) and all(r["got"] == r["want"] for r in got)
+    counts = spark.createDataFrame([(0, 2, 1), (0, 0, 0), (3, 0, None)], "a long, b long, c long")
+    mixed = counts.select(counts_to_map([("z", F.col("a")), ("y", F.col("b")), ("x", F.col("c"))]).alias("m"))
+    assert [r["m"] for r in mixed.collect()] == [{"x": 1, "y": 2}, None, {"z": 3}]
+
+
+def test_prefixes_are_not_interpreted(spark):
+    """Rows of an index are cut by generated code, and their text is cleaned once."""
+    df = spark.createDataFrame([("Acme & Co",), ("a",), ("ab",), (None,)], "name string")
+    prefixes = df.select(nz.base_prefixes(F.col("name")).alias("p"))
+    assert [r["p"] for r in prefixes.collect()] == [["ac", "acm"], [], ["ab"], []]
+    label = counts_to_map([("a", F.length("name"))])
+    plan = df.select(nz.base_prefixes(F.col("name")), label)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
