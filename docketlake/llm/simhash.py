@@ -18,8 +18,8 @@ shingles have a Jaccard similarity of ``SIMILARITY`` or more, and groups are wha
 Candidates share one of ``BANDS`` keys, each of ``DEEP`` minima of the set under as many orders (of
 two texts at the similarity two in a million share none, of more alike ones fewer). What texts
 share a key is a bucket. Copies of one text would make every pair of a bucket a candidate; so
-for ``ROUNDS`` rounds each text is compared with one text of the largest group that its buckets
-hold, and only then all pairs that are not yet of one group. No text crowds out another.
+for ``ROUNDS`` rounds, or until one links nothing, each text is compared with one text of the largest
+group that its buckets hold, and only then all pairs that are not yet of one group. No text crowds out another.
 
 ``near_links`` gives the pairs whose fingerprints of single words are within ``WIDE`` bits and those
 of five words within ``FAR``.
@@ -393,15 +393,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def _near_roots(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Rows (node, root) of texts in groups, from buckets (key, node, n) and sets (node, set); see ``components``."""
     buckets = _bounded(buckets, sets, similarity)
-    known, found, tested = buckets.withColumn("root", F.col("node")), None, None
+    known, found, roots, tested = buckets.withColumn("root", F.col("node")), None, None, None
     for step in range(ROUNDS):
         pairs = _offered(known, step, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = materialize(_alike(pairs, sets, similarity), "near-copies")
+        if links.isEmpty():  # groups are as before; all pairs of different ones are compared next
+            break
         tested, found = (pairs, links) if tested is None else (tested.union(pairs), found.union(links))
         roots = materialize(components(found), "roots")
         known = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return materialize(components(found.union(materialize(_apart(known, sets, similarity), "near-copies"))), "roots")
+    last = materialize(_apart(known, sets, similarity), "near-copies")
+    if roots is not None and last.isEmpty():
+        return roots
+    return materialize(components(last if found is None else found.union(last)), "roots")
 
 
 def _bounded(bucket: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -454,8 +459,8 @@ def _apart(known: DataFrame, sets: DataFrame, similarity: float, limit: int | No
     once, whatever its pairs; one of more than ``limit`` shingles is cut into parts, which meet in pairs.
     """
     limit = limit or CELL
+    known = materialize(known, "known")
     for _ in range(2):  # the second count knows fewer texts
-        known = materialize(known, "known")
         mixed = known.join(materialize(_largest(known, ROUNDS).select("key", "main"), "largest"), "key")
         known = _bounded(mixed.drop("main"), sets, similarity)
     main = materialize(_largest(known, ROUNDS).select("key", "main"), "largest")
