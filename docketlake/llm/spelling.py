@@ -10,6 +10,8 @@ replaces, so insertions and the other half of the replacements are left out.
 * A reduced word that more than ``HOT`` words share is joined as one row that only
   marks it. The words that reach it are then compared over the whole alphabet, where a
   neighbourhood names single words; so no bucket is ever squared, and no pair is lost.
+* Neighbourhoods are merged with what they meet, never broadcast: Spark sizes the rows that a
+  task makes of a word (40 and more, 900 over the whole alphabet) like the one it was made of.
 * Words above ``LONG`` code points travel as 64-bit identifiers and are read again
   for their candidates, since each has as many neighbours as letters.
 
@@ -192,6 +194,11 @@ def _renamed(rows: DataFrame, mark: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(c if c == "code" else f"{c}_{mark}") for c in rows.columns])
 
 
+def _joined(near: DataFrame, targets: DataFrame) -> DataFrame:
+    """Neighbourhoods with the words at their codes; their size is not what Spark takes it for."""
+    return near.hint("merge").join(targets, "code")
+
+
 def _met(vocabulary: DataFrame, partners: DataFrame, carried: list[str], verified) -> list[DataFrame]:
     """Candidate pairs (a: of ``vocabulary``, b: of ``partners``) that ``verified`` accepts.
 
@@ -207,7 +214,7 @@ def _met(vocabulary: DataFrame, partners: DataFrame, carried: list[str], verifie
         targets = targets.join(hot, "code", "left_anti").unionByName(marks)
     near = _renamed(_coded(vocabulary, carried, False, False), "a")
     key = carried[0]
-    met = near.join(targets, "code").filter(F.col(f"{key}_b").isNull() | verified)
+    met = _joined(near, targets).filter(F.col(f"{key}_b").isNull() | verified)
     met = materialize(met.drop("code"), "near-words")
     found = [met.filter(F.col(f"{key}_b").isNotNull())]
     if some:
@@ -216,7 +223,7 @@ def _met(vocabulary: DataFrame, partners: DataFrame, carried: list[str], verifie
         near = _renamed(_coded(words, carried, True, True), "a")
         crowded = own.join(hot, "code", "left_semi").drop("code")
         targets = _renamed(_coded(crowded, carried, True, None), "b")
-        found.append(near.join(targets, "code").filter(verified).drop("code"))
+        found.append(_joined(near, targets).filter(verified).drop("code"))
     return found
 
 

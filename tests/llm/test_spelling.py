@@ -101,6 +101,23 @@ def test_occurrences_of_odd_texts(spark):
     assert rows == brute(want)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_neighbourhoods_are_not_broadcast(spark, monkeypatch, hot):
+    """A small file of words has large neighbourhoods, over either alphabet: the left side of joins by code."""
+    def joins(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        return re.findall(r"(\w+Join) \[code[^\n]*Inner([^\n]*)", plan)
+
+    monkeypatch.setattr(spelling, "HOT", hot)
+    words = spelling.materialize(
+        spark.createDataFrame(list(vocabulary().items()), "word string, n long"), "vocabulary")
+    met, real = [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, name: met.extend(joins(df)) or real(df, name))
+    met.extend(joins(spelling.near_words(words)))
+    assert len(met) >= (2 if hot == 1 else 1)
+    assert not any(kind == "BroadcastHashJoin" and "BuildLeft" in rest for kind, rest in met)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(spelling.occurrences(none)).count() == 0
