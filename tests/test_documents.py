@@ -142,3 +142,16 @@ def test_buckets_follow_the_number_of_documents(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     store.write_documents(documents.jobs_documents(jobs(spark, 9)), path)
     assert store.bucket_count(spark, path) == 2
+
+
+def test_families_are_written_one_after_another(spark, tmp_path):
+    """The store is that of all documents at once."""
+    frames = [documents.jobs_documents(jobs(spark, 30)), documents.seal(spark.createDataFrame(
+        [("meta", "meta.json", "{}"), ("meta", "other.json", "[]")], "family string, key string, body string"))]
+    for path, docs in (("one", frames[0].unionByName(frames[1])), ("two", frames)):
+        store.write_documents(docs, str(tmp_path / path), buckets=3)
+    one, two = (store.read_documents(spark, str(tmp_path / path)) for path in ("one", "two"))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and two.count() == 5
+    assert store.bucket_count(spark, str(tmp_path / "two")) == 3
+    store.write_documents(frames[1:], str(tmp_path / "two"))  # replaces all families
+    assert store.read_documents(spark, str(tmp_path / "two")).count() == 2
